@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import neardup
+from loamstack.llm import formatting, lookalike, neardup, terms
 from loamstack.runtime import table
 
 
@@ -40,4 +40,31 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("entry_id"), F.col("root").alias("first_entry_id"), "links")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p5_found, p5_groups)}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = formatting.formatting_copies(_body(spark, sf_dir), "entry_id", "text")
+    return copies.select(F.col("root").alias("first_entry_id"), F.col("id").alias("entry_id"))
+
+
+def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry that has copies, once, with the number of its copies (itself included)."""
+    copies = formatting.formatting_copies(_body(spark, sf_dir), "entry_id", "text")
+    return copies.groupBy(F.col("root").alias("first_entry_id")).agg((F.count("*") + 1).alias("copies"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_terms(spark, sf_dir).where("mark is not null").select("term", "mark")
+
+
+def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its occurrences, its entries and its mark."""
+    entries = table(spark, sf_dir, "entries")
+    total = terms.count_records(entries, "entry_id")
+    return terms.mark_terms(terms.term_frequencies(entries, "entry_id", "toks"), total)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = lookalike.lookalike_pairs(_body(spark, sf_dir), "entry_id", "text")
+    return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups)}

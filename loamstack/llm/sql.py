@@ -45,3 +45,14 @@ s AS (SELECT entry_id, list_sort(list(tok)) AS toks FROM t GROUP BY entry_id),
 l AS (SELECT b.a AS entry_id, count(DISTINCT y.toks) FILTER (WHERE y.toks <> x.toks) AS links
   FROM both b JOIN s x ON x.entry_id = b.a JOIN s y ON y.entry_id = b.b GROUP BY 1)
 SELECT entry_id, root AS first_entry_id, links FROM grp JOIN l USING (entry_id)"""
+
+_TERMS = """
+WITH e AS (SELECT entry_id, any_value(toks) AS toks FROM entries GROUP BY entry_id),
+u AS (SELECT entry_id, unnest(toks) AS term FROM e),
+f AS (SELECT term, count(*) AS occurrences, count(DISTINCT entry_id) AS records FROM u WHERE term IS NOT NULL GROUP BY term),
+m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 2 * (SELECT count(*) FROM e) THEN 'common' END AS mark FROM f)
+"""
+
+SQL["p3_terms"] = _TERMS + "SELECT term, occurrences, records, mark FROM m"
+
+SQL["p3_found"] = _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL"
