@@ -69,6 +69,8 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
                     total[k] = part.copy()
                 elif fold == "or":
                     total[k] |= part
+                elif fold == "two":  # counts that stop at two
+                    total[k] = np.minimum(total[k] + part, 2).astype(dtype)
                 else:
                     total[k] += part
         if total:

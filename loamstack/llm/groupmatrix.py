@@ -29,6 +29,7 @@ from loamstack.llm.base import list_parts, or_fold, token_set
 
 COUNTERS = 1 << 22  #: token counters; fixed, 8 MB as 16-bit numbers
 GROUP_COUNTERS = 1 << 16
+KEY_BITS = 24  #: cells of the key filter, as a power of two; 2 MB as bits
 HOT = 2000  #: tokens of more records than this are joined as pairs
 MEMBERS = 8  #: classes a group is meant to hold
 
@@ -65,7 +66,60 @@ def _count(arr: np.ndarray, batch: pa.RecordBatch) -> None:
     arr[COUNTERS:] += np.bincount(_group_bucket(g), minlength=GROUP_COUNTERS).astype(np.uint32)
 
 
-def _postings(counts: np.ndarray, num: int, den: int, probe: bool):
+def _prefix_keys(off: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, den: int, probe: bool):
+    """(key, row, place of the first token, n) of all keys of one side, for token sets (off, h)."""
+    n = np.diff(off)
+    row = np.repeat(np.arange(len(n)), n)
+    c = counts[_bucket(h)].astype(np.int64)
+    order = np.lexsort((h, c, row))
+    h, c = h[order], c[order]
+    pos = np.arange(len(h)) - np.repeat(off[:-1], n)
+    need = -(-num * n // den) if probe else -(-2 * num * n // (num + den))
+    prefix = np.repeat(n - need, n)
+    hot = c > HOT
+    # single keys: tokens that are not frequent and that other records have
+    m = (pos <= prefix) & ~hot & (c > 1)
+    keys, rows, at = [h[m]], [row[m]], [pos[m]]
+    # pairs of frequent tokens, the second at most one place further
+    m = (pos <= prefix + 1) & hot
+    x, r, p = h[m], row[m], pos[m]
+    d = 1
+    while d < len(x):
+        same = r[d:] == r[:-d]
+        if not same.any():
+            break
+        a, z = x[:-d][same].view(np.uint64), x[d:][same].view(np.uint64)
+        keys.append((a * np.uint64(0x9E3779B97F4A7C15) ^ z).view(np.int64))
+        rows.append(r[d:][same])
+        at.append(p[:-d][same])
+        d += 1
+    return np.concatenate(keys), np.concatenate(rows), np.concatenate(at), n
+
+
+def _key_cell(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+
+
+def _useful(sets: DataFrame, shared, num: int, den: int) -> np.ndarray:
+    """Bits of the keys that an index side has and at least two records ask for.
+
+    A filter of fixed size: a key it lets through in error only costs its row.
+    """
+    cells = 1 << KEY_BITS
+
+    def add(arr: np.ndarray, batch: pa.RecordBatch) -> None:
+        off, h = list_parts(batch.column("hs"))
+        key, *_ = _prefix_keys(off, h, shared.value, num, den, True)
+        cell, times = np.unique(_key_cell(key), return_counts=True)
+        arr[cell] = np.minimum(arr[cell].astype(np.int64) + times, 2)
+        key, *_ = _prefix_keys(off, h, shared.value, num, den, False)
+        arr[cells + _key_cell(key)] = 2
+
+    seen = or_fold(sets.select("hs"), 2 * cells, "uint8", "two", add)
+    return np.packbits((seen[:cells] > 1) & (seen[cells:] > 0))
+
+
+def _postings(counts: np.ndarray, useful: np.ndarray, num: int, den: int, probe: bool):
     """Rows of one side of the candidate join, from groups of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,39 +133,17 @@ def _postings(counts: np.ndarray, num: int, den: int, probe: bool):
             per_group = np.diff(moff)
             f = items.field("f").to_numpy(zero_copy_only=False)
             off, h = list_parts(items.field("hs"))
-            n = np.diff(off)
             member_group = np.repeat(np.arange(len(gkey)), per_group)
-            row = np.repeat(np.arange(len(n)), n)
-            c = counts[_bucket(h)].astype(np.int64)
-            order = np.lexsort((h, c, row))
-            h, c = h[order], c[order]
-            pos = np.arange(len(h)) - np.repeat(off[:-1], n)
-            need = -(-num * n // den) if probe else -(-2 * num * n // (num + den))
-            prefix = np.repeat(n - need, n)
-            hot = c > HOT
             bits = (h.view(np.uint64) >> np.uint64(20)) & np.uint64(127)
             one = np.uint64(1) << (bits & np.uint64(63))
             b0 = np.bitwise_or.reduceat(np.where(bits < 64, one, np.uint64(0)), off[:-1])
             b1 = np.bitwise_or.reduceat(np.where(bits >= 64, one, np.uint64(0)), off[:-1])
-            # single keys: shared tokens that are not frequent
-            m = (pos <= prefix) & ~hot & (c > 1)
-            keys, rows, at = [h[m]], [row[m]], [pos[m]]
-            # pairs of frequent tokens, the second at most one place further
-            m = (pos <= prefix + 1) & hot
-            x, r, p = h[m], row[m], pos[m]
-            d = 1
-            while d < len(x):
-                same = r[d:] == r[:-d]
-                if not same.any():
-                    break
-                a, z = x[:-d][same].view(np.uint64), x[d:][same].view(np.uint64)
-                keys.append((a * np.uint64(0x9E3779B97F4A7C15) ^ z).view(np.int64))
-                rows.append(r[d:][same])
-                at.append(p[:-d][same])
-                d += 1
-            key, r, p = np.concatenate(keys), np.concatenate(rows), np.concatenate(at)
-            # what the first common token's place leaves possible, see w in _links
-            w = (num + den - num) * n[r] - (num + den) * p
+            key, r, p, n = _prefix_keys(off, h, counts, num, den, probe)
+            cell = _key_cell(key)
+            keep = (useful[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1 == 1
+            key, r, p = key[keep], r[keep], p[keep]
+            # what the first common token's place leaves possible, see near_links
+            w = den * n[r] - (num + den) * p
             if probe:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key), pa.array(gkey[member_group[r]]), pa.array(f[r]), pa.array(n[r].astype(np.int32)),
@@ -144,13 +176,14 @@ def near_links(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     ``sets`` as of keyed_sets.  Copies cost nothing beyond the map-side
     aggregation that collapses them; a group of many similar classes is cut
     into parts of about MEMBERS by fingerprint, and every part is still asked
-    by every class, so no link is lost.  Nothing but the counters (8 MB,
-    whatever the input) is broadcast.  An empty input gives an empty result.
+    by every class, so no link is lost.  Nothing but the counters and the
+    key filter (10 MB, whatever the input) is broadcast.  An empty input gives an empty result.
     """
     spark = sets.sparkSession
     counts = or_fold(sets.select("hs", "g"), COUNTERS + GROUP_COUNTERS, "uint32", "sum", _count)
     parts = np.minimum(-(-counts[COUNTERS:].astype(np.int64) // MEMBERS), 1 << 15).astype(np.int64)
     shared = spark.sparkContext.broadcast(np.minimum(counts[:COUNTERS], 65535).astype(np.uint16))
+    useful = spark.sparkContext.broadcast(_useful(sets, shared, num, den))
     busy = np.flatnonzero(parts > 1)
     salts = spark.createDataFrame(
         [(int(b), int(parts[b])) for b in busy], "gb int, parts int") if len(busy) else None
@@ -163,7 +196,7 @@ def near_links(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     groups = keyed.groupBy("gk").agg(F.first("g").alias("g"), F.collect_set(F.struct("f", "hs")).alias("members"))
 
     def side(probe: bool, schema: str) -> DataFrame:
-        fold = lambda batches: _postings(shared.value, num, den, probe)(batches)
+        fold = lambda batches: _postings(shared.value, useful.value, num, den, probe)(batches)
         return groups.mapInArrow(fold, schema)
 
     q = side(True, "key long, qg long, qf long, qn int, qw int, q0 long, q1 long")
