@@ -9,6 +9,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SPACE = re.compile("[ \t\r\n]+")
 #: Marks of categories other than punctuation that serve as markup or separators.
@@ -84,7 +85,7 @@ def plain_form(text: str | None) -> str | None:
     return "\x00".join(f"{k}\x01{v}" for k, v in fields)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _plain_udf(texts: pd.Series) -> pd.Series:
     return texts.map(plain_form, na_action="ignore")
 

@@ -15,6 +15,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters of other scripts that have the shape of a Latin letter,
 # Cyrillic, Greek, Armenian and phonetic, each with that letter.
@@ -100,7 +101,7 @@ def canonical(text: str | None) -> str | None:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_udf(texts: pd.Series) -> pd.Series:
     return texts.map(canonical, na_action="ignore")
 

@@ -72,7 +72,7 @@ def _aggregate(spill: str):
 
         stream = pa.RecordBatchReader.from_batches(first.schema, chain())  # noqa: F841  (DuckDB reads it by name)
         con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": spill})
-        out = con.execute(
+        out = con.sql(
             "SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records "
             "FROM stream GROUP BY term").to_arrow_reader(100_000)
         yield from out
