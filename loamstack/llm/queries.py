@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import formatting, lookalike, neardup, terms
+from loamstack.llm import forest, formatting, lookalike, neardup, terms
 from loamstack.runtime import table
 
 
@@ -67,4 +67,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups)}
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    history = _body(spark, sf_dir).select(F.col("entry_id").alias("id"), "file_id", "toks", "eid")
+    arrivals = table(spark, sf_dir, "arrivals").select(
+        F.col("entry_id").alias("id"), F.col("batch_no").alias("batch"), "file_id", "toks", "eid")
+    cases, _ = forest.admit(forest.HashForest(spark).add(history), arrivals)
+    return cases.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found)}
