@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import forest, formatting, lookalike, neardup, terms
+from loamstack.llm import forest, formatting, leaks, lookalike, neardup, terms
 from loamstack.runtime import table
 
 
@@ -75,4 +75,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found)}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p8_found)}

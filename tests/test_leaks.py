@@ -1,0 +1,43 @@
+import re
+
+import __spark_entry__
+from loamstack.llm.leaks import RUN
+
+ITEM = "Suppose Velako repeats fact 12 twice and then shortens the map of Gijo for the night watch"
+OTHER = "Between Hobo and Kali only 740 words of the plan may remain pinned until the audit is over"
+DOCS = [
+    (1, f"Before. {ITEM}. After."),  # whole
+    (2, "x " + " ".join(ITEM.split()[3:13]) + " y"),  # exactly RUN words
+    (3, "x " + " ".join(ITEM.split()[3:12]) + " y"),  # one too few
+    (4, " ".join(ITEM.split()[:8] + ["gap"] + ITEM.split()[8:])),  # broken by a word
+    (5, "**" + ITEM.upper().replace(" ", ",\n- ") + "**"),  # case, marks and lines
+    (6, ITEM.replace("Velako", "Ve​lako").replace(" ", " ").replace("12", "１２")),  # invisible, space, width
+    (7, f"{OTHER} {ITEM}"),  # two items
+    (8, None), (9, ""), (10, f"Before. {ITEM}. After."),  # an equal text comes out again
+]
+
+
+def _plain(text):
+    text = (text or "").replace("​", "").replace("１２", "12")
+    return re.findall(r"[^\W_]+", text.lower())
+
+
+def _brute(docs, items):
+    out = set()
+    for d, text in docs:
+        w = _plain(text)
+        runs = {tuple(w[k:k + RUN]) for k in range(len(w) - RUN + 1)}
+        for i, item in items:
+            v = _plain(item)
+            if any(tuple(v[k:k + RUN]) in runs for k in range(len(v) - RUN + 1)):
+                out.add((d, i))
+    return out
+
+
+def test_p8_found_is_brute_force(spark, tmp_path):
+    items = [(1, ITEM), (2, OTHER), (3, "too short an item")]
+    spark.createDataFrame(DOCS, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    rows = __spark_entry__.queries()["p8_found"](spark, str(tmp_path)).collect()
+    assert len(rows) == len({tuple(r) for r in rows})
+    assert {tuple(r) for r in rows} == _brute(DOCS, items) == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (7, 2), (10, 1)}
