@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import forest, formatting, leaks, lookalike, neardup, terms
+from loamstack.llm import forest, formatting, leaks, lookalike, neardup, residue, terms
 from loamstack.runtime import table
 
 
@@ -80,4 +80,8 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p8_found)}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p8_found, p9_found)}
