@@ -2,5 +2,19 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+
+from loamstack.operators import duplicates
+from loamstack.runtime import table
+
+
+def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.exact_duplicates(table(spark, sf_dir, "entries"))
+
+
+QUERIES: dict = {"exact_duplicates": exact_duplicates}
+SQL: dict = {"exact_duplicates": """
+WITH e AS (SELECT DISTINCT file_id, eid, pos, entry_id, text FROM entries WHERE file_id IS NOT NULL AND eid IS NOT NULL),
+r AS (SELECT *, row_number() OVER w AS k, first_value(entry_id) OVER w AS kept_entry_id, first_value(text) OVER w AS result
+  FROM e WINDOW w AS (PARTITION BY file_id, eid ORDER BY pos))
+SELECT file_id, pos, entry_id, text AS removed, kept_entry_id, result FROM r WHERE k > 1"""}
