@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import forest, formatting, leaks, lookalike, neardup, residue, terms
+from loamstack.llm import forest, formatting, leaks, lookalike, neardup, packing, residue, terms
 from loamstack.runtime import table
 
 
@@ -75,6 +75,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
 
 
+def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window of every document, or of each part of one larger than the window, for each context."""
+    return packing.pack_contexts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contexts"))[0]
+
+
+def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windows that p7_packing takes of each context, and how many any packing needs at least."""
+    _, rows = packing.pack_contexts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contexts"))
+    return spark.createDataFrame(rows, "context_id int, capacity_tokens int, windows long, bound long")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks.leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
     return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
@@ -84,4 +95,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p7_packing, p7_bounds, p8_found, p9_found)}
