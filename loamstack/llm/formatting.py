@@ -7,9 +7,9 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import StringType, StructField, StructType
 
 _SPACE = re.compile("[ \t\r\n]+")
 #: Marks of categories other than punctuation that serve as markup or separators.
@@ -17,8 +17,8 @@ _MARKUP = set("|=~`^<>+")
 #: Punctuation that means something by itself.
 _CONTENT = set("&@%#§¶‰†‡№")
 _SIGNS = set("+-−±")
-#: A field: up to four words without a colon or equals sign, one of these, a value.
-_FIELD = re.compile(r"\s*([^:=;|\n]{1,60}?)\s*[:=]\s*(.*)", re.DOTALL)
+#: A field: words of any length and number without a colon or equals sign, one of these, a value.
+_FIELD = re.compile(r"([^:=;|\n]+)[:=](.*)", re.DOTALL)
 _SECOND = re.compile(r"[^\s:=][ \t]*=|:(?:\s|$)|\s:")
 _LEAD = re.compile(r"[ \t\r\n]*(?:[*>~\-•+#]+[ \t\r\n]+)+")
 
@@ -55,11 +55,11 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
             continue
         out = []
         for p in parts:
-            m = _FIELD.fullmatch(p)
-            if not m or _SECOND.search(m[2]):
+            m = _FIELD.fullmatch(p.strip())
+            if not m or _SECOND.search(m[2].lstrip()):
                 break
             key, value = _words(m[1]), _words(m[2])
-            if not key or key.count(" ") > 3:
+            if not key:
                 break
             out.append((key, value))
         else:
@@ -67,27 +67,36 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
     return None
 
 
+def word_form(text: str) -> str:
+    """The words of the text without case and formatting."""
+    return _words(text.casefold())
+
+
+def field_form(text: str) -> str | None:
+    """The sorted fields of a text made of ``key: value`` fields only, else None."""
+    if ":" not in text and "=" not in text:
+        return None
+    fields = _fields(text.casefold())
+    return None if fields is None else "\x00".join(f"{k}\x01{v}" for k, v in fields)
+
+
 def plain_form(text: str | None) -> str | None:
-    """The text without its formatting; two texts of one form are copies.
+    """The text without its formatting: its sorted fields, if it is made of fields only, else its words.
 
     Plain spaces, tabs, line breaks, letter case, and punctuation and markup
     at the ends of words are formatting; marks inside a word or number, a sign
     directly before a number, and plus signs that end a name are content.
-    Texts made of ``key: value`` fields only become their sorted fields.  Null
-    stays null; a text of formatting alone becomes the empty form.
+    Null stays null; a text of formatting alone becomes the empty form.
     """
     if text is None:
         return None
-    folded = text.casefold()
-    fields = _fields(folded) if ":" in folded or "=" in folded else None
-    if fields is None:
-        return _words(folded)
-    return "\x00".join(f"{k}\x01{v}" for k, v in fields)
+    form = field_form(text)
+    return word_form(text) if form is None else form
 
 
-@F.pandas_udf(StringType())
-def _plain_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(plain_form, na_action="ignore")
+@F.pandas_udf(StructType([StructField("words", StringType()), StructField("fields", StringType())]))
+def _forms_udf(texts: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame({"words": [word_form(t) for t in texts], "fields": [field_form(t) for t in texts]}, dtype=object)
 
 
 def cheap_invariants(text: Column) -> Column:
@@ -102,8 +111,10 @@ def formatting_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Progressive refinement: identical texts first collapse on the map side;
     distinct texts are partitioned by cheap invariants; only classes of
-    several distinct texts are given the costly form, which decides.  Groups
-    come out as stars, no pairs are made.  Ids delivered twice count once.
+    several distinct texts are given the costly forms, which decide: texts are
+    copies if their words are equal, or if both are made of fields only and
+    their sorted fields are equal; prose that merely parses as fields still
+    has its words.  Groups come out as stars, no pairs are made.  Ids delivered twice count once.
     Null texts and ids take no part; texts of formatting alone are one group.
     """
     text = F.col("text")
@@ -113,16 +124,21 @@ def formatting_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     texts = texts.withColumn("k", cheap_invariants(text))
     marks = rows.select(cheap_invariants(text).alias("k"), "t0").groupBy("k").agg(
         F.min("t0").alias("x"), F.max("t0").alias("y")).where("x <> y").select("k")
-    form = F.col("form")
-    formed = (
-        texts.join(marks, "k").select("t0", "t1", "head", _plain_udf(text).alias("form"))
-        .select("t0", "t1", "head", F.xxhash64(F.lit(3), form).alias("c0"), F.xxhash64(F.lit(5), form).alias("c1"))
-    )
+    formed = texts.join(marks, "k").select("t0", "t1", "head", _forms_udf(text).alias("form"))
+    words, fields = F.col("form.words"), F.col("form.fields")
+    c0, c1 = F.xxhash64(F.lit(3), words), F.xxhash64(F.lit(5), words)
     from loamstack.runtime import cut
 
-    formed = cut(formed)
-    roots = formed.groupBy("c0", "c1").agg(F.min("head").alias("root"), F.count("*").alias("n")).where("n > 1")
-    roots = formed.join(roots, ["c0", "c1"]).select("t0", "t1", "root")
+    formed = cut(formed.select("t0", "t1", "head", c0.alias("c0"), c1.alias("c1"),
+                               F.when(fields.isNull(), c0).otherwise(F.xxhash64(F.lit(7), fields)).alias("f0"),
+                               F.when(fields.isNull(), c1).otherwise(F.xxhash64(F.lit(9), fields)).alias("f1")))
+    by_words, by_fields = Window.partitionBy("c0", "c1"), Window.partitionBy("f0", "f1")
+    linked = formed.withColumn("root", F.min("head").over(by_words))
+    while True:  # texts of equal words or equal fields, directly or through others
+        linked = cut(linked.withColumn("root", F.min("root").over(by_fields)).withColumn("root", F.min("root").over(by_words)))
+        if linked.groupBy("f0", "f1").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").isEmpty():
+            break
+    roots = linked.where("root <> head").select("t0", "t1", "root")
     held = rows.select("t0", "t1", "id").repartition("t0", "t1").dropDuplicates(["t0", "t1", "id"])
     heads = held.groupBy("t0", "t1").agg(F.min("id").alias("head"))
     return (held.join(heads, ["t0", "t1"]).join(roots, ["t0", "t1"], "left")

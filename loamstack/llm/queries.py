@@ -46,9 +46,11 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every entry that has copies, once, with the number of its copies (itself included)."""
-    copies = formatting.formatting_copies(_body(spark, sf_dir), "entry_id", "text")
-    return copies.groupBy(F.col("root").alias("first_entry_id")).agg((F.count("*") + 1).alias("copies"))
+    """Every entry without its copies, once, with the number of its copies (itself included)."""
+    body = _body(spark, sf_dir)
+    copies = formatting.formatting_copies(body, "entry_id", "text").withColumnRenamed("id", "entry_id")
+    entries = body.select("entry_id").where("entry_id is not null").distinct().join(copies, "entry_id", "left")
+    return entries.groupBy(F.coalesce("root", "entry_id").alias("first_entry_id")).agg(F.count("*").alias("copies"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
