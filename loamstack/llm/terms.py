@@ -1,4 +1,4 @@
-"""Frequencies of all terms by radix partitions on disk and DuckDB."""
+"""Frequencies of all terms by hash prefixes on disk, one shuffle and DuckDB."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from loamstack.runtime import fresh_path
 
 RADIX_BITS = 6
-PART_ROWS = 2_000_000  #: partial counts one aggregation is meant to take
+PART_ROWS = 2_000_000  #: partial counts one aggregation takes on average at most
 FLUSH_ROWS = 1_000_000  #: distinct terms a map task keeps before it hands them on
 
 _PARTIAL = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
@@ -84,12 +84,14 @@ def _aggregate(spill: str):
 def term_frequencies(df: DataFrame, id_col: str, toks_col: str) -> DataFrame:
     """(term, occurrences, records): every distinct term of all token lists.
 
-    Recursive radix partitioning: map tasks count what they hold, so that a
-    term of a third of all rows leaves each task as one row; the partial
-    counts go to disk in the shared folder, partitioned by the first bits of
-    the term's hash; partitions of more than PART_ROWS rows are split by
-    further bits, again and again while that makes them smaller; DuckDB
-    aggregates each, spilling to the shared folder where that is a file system.
+    Map tasks count what they hold, so that a term of a third of all rows
+    leaves each task as one row; the partial counts go to disk in the shared
+    folder, partitioned by the first bits of the term's hash.  Prefixes of
+    more than PART_ROWS rows are counted again by further bits, but nothing is
+    written again: the counts only choose the number of tasks and the bits of
+    the key by which one shuffle deals the stored rows.  A task may get several
+    prefixes, so PART_ROWS is a mean and bounds no task; DuckDB aggregates what
+    a task gets, spilling to the shared folder where that is a file system.
 
     A record delivered twice (same id) counts once, by its first non-null
     list.  Null lists and null terms count nothing, the empty term is a term;
@@ -112,7 +114,7 @@ def term_frequencies(df: DataFrame, id_col: str, toks_col: str) -> DataFrame:
             rows = rows.where(F.col("radix").isin(sorted({v >> (b - RADIX_BITS) for v, b in within})))
         return {(r[0], bits): r[1] for r in rows.groupBy(leaf).count().collect()}
 
-    # leaves: (prefix value, bits); at most 2^RADIX_BITS plus what PART_ROWS splits off
+    # leaves: (prefix value, bits); at most 2^RADIX_BITS plus what PART_ROWS splits off, only counted
     leaves, todo, bits = {}, sizes(RADIX_BITS, None), RADIX_BITS
     while todo:
         large = {k: c for k, c in todo.items() if c > PART_ROWS}
