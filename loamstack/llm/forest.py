@@ -1,11 +1,12 @@
 """New batches against all accepted history: a prefix-tree hash forest.
 
-Each tree orders the token sets of every file by a label of DEPTH min-hashes;
-the orders are kept as sorted runs in the shared folder.  A batch looks for
-each of its sets the range of labels that share a prefix with its own.  The
-prefix is the longest one whose recall, over all trees and at the similarity
-threshold, reaches the target; what lies in the range is compared exactly.
-Accepted sets are appended as further runs, and runs can be merged.
+Each tree gives every token set of a file a label of DEPTH min-hashes; the
+labels are stored as runs in the shared folder.  The search is by hash and not
+by range: a batch is joined with all stored runs on (file, tree, prefix of the
+label), the prefix being the longest one whose recall, over all trees and at
+the similarity threshold, reaches the target; it is fixed and not widened by
+what is found.  The sort order of the runs is not used.  Candidates are
+compared exactly.  Runs can be appended and merged; admit() does neither.
 """
 
 from __future__ import annotations
