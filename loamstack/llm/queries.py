@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstack.llm import forest, formatting, leaks, lookalike, neardup, packing, residue, terms
+from loamstack.llm import firstseen, forest, formatting, leaks, lookalike, neardup, packing, residue, terms
 from loamstack.runtime import table
 
 
@@ -77,6 +77,13 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
 
 
+def p6_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cases of p6_found with the first_seen of the accepted entry."""
+    standing = firstseen.standing(_body(spark, sf_dir), table(spark, sf_dir, "arrivals"), table(spark, sf_dir, "state"))
+    return p6_found(spark, sf_dir).join(standing.withColumnRenamed("entry_id", "accepted_entry_id"), "accepted_entry_id", "left").select(
+        "accepted_entry_id", "entry_id", "first_seen")
+
+
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window of every document, or of each part of one larger than the window, for each context."""
     return packing.pack_contexts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contexts"))[0]
@@ -97,4 +104,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p7_packing, p7_bounds, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
