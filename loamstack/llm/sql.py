@@ -21,8 +21,8 @@ near AS (SELECT a, b FROM shared JOIN n x ON x.entry_id = a JOIN n y ON y.entry_
 SQL["p5_found"] = _SETS + "," + _NEAR.format(scope="") + "SELECT a AS entry_id_a, b AS entry_id_b FROM near"
 
 _GROUPS = """,
-both AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
-reach AS (SELECT DISTINCT a AS x, a AS y FROM both UNION SELECT r.x, both.b FROM reach r JOIN both ON both.a = r.y),
+bothways AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT DISTINCT a AS x, a AS y FROM bothways UNION SELECT r.x, bothways.b FROM reach r JOIN bothways ON bothways.a = r.y),
 grp AS (SELECT x AS entry_id, min(y) AS root FROM reach GROUP BY x)
 """
 
@@ -43,7 +43,7 @@ SQL["p1_records"] = _RECURSIVE + _RANKED + """SELECT root AS first_entry_id, ent
 SQL["p5_groups"] = (_SETS + "," + _NEAR.format(scope="")).replace("WITH e", "WITH RECURSIVE e", 1) + _GROUPS + """,
 s AS (SELECT entry_id, list_sort(list(tok)) AS toks FROM t GROUP BY entry_id),
 l AS (SELECT b.a AS entry_id, count(DISTINCT y.toks) FILTER (WHERE y.toks <> x.toks) AS links
-  FROM both b JOIN s x ON x.entry_id = b.a JOIN s y ON y.entry_id = b.b GROUP BY 1)
+  FROM bothways b JOIN s x ON x.entry_id = b.a JOIN s y ON y.entry_id = b.b GROUP BY 1)
 SELECT entry_id, root AS first_entry_id, links FROM grp JOIN l USING (entry_id)"""
 
 _TERMS = """
