@@ -16,18 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests, local mode) a temporary folder
-    of this machine is taken.
+    Only with a local master, as in tests, a temporary folder of this machine
+    stands in for it; on a cluster the setting must be there.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    set_before = sc._jsc.sc().getCheckpointDir()
+    if named is None and set_before.isDefined():
+        return set_before.get()
     if named is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-    if named is None:
-        if sc._jsc.sc().getCheckpointDir().isDefined():
-            return sc._jsc.sc().getCheckpointDir().get()
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         named = tempfile.mkdtemp(prefix="loamstack-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
+    if not set_before.isDefined():
         sc.setCheckpointDir(named)
     return named
 
@@ -37,6 +38,12 @@ def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/loamstack/{what}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a path below the shared folder, on whatever file system it is."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and returns it without its lineage."""
     shared_dir(df.sparkSession)

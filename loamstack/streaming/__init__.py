@@ -1 +1 @@
-
+"""Nightly batches as a stream."""
