@@ -7,7 +7,7 @@ import unicodedata
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -23,13 +23,27 @@ _SECOND = re.compile(r"[^\s:=][ \t]*=|:(?:\s|$)|\s:")
 _LEAD = re.compile(r"[ \t\r\n]*(?:[*>~\-•+#]+[ \t\r\n]+)+")
 
 
+#: Signs that only look like a letter (Kelvin, angstrom, ohm); their lower case is another character.
+_LOOKALIKES = {0x212A: "\ue0fa", 0x212B: "\ue0fb", 0x2126: "\ue0fc"}
+_AFTER = {0xE0FA: "\u212a", 0xE0FB: "\u212b", 0xE0FC: "\u2126", ord("ς"): "σ", ord("ß"): "ss"}
+
+
+def fold_case(text: str) -> str:
+    """Lower case, with one sigma and ss for sharp s; ligatures and look-alike signs stay what they are."""
+    if text.isascii():
+        return text.lower()
+    return text.translate(_LOOKALIKES).lower().translate(_AFTER)
+
+
 @lru_cache(maxsize=4096)
 def _formatting(c: str) -> bool:
     return c in _MARKUP or (unicodedata.category(c)[0] == "P" and c not in _CONTENT)
 
 
 def _chunk(c: str) -> str:
-    """A chunk between spaces without the formatting at its ends."""
+    """A chunk between spaces without the formatting at its ends; number signs alone are a heading's markup."""
+    if c.count("#") == len(c):
+        return ""
     i, j = 0, len(c)
     while i < j and _formatting(c[i]):
         if c[i] in _SIGNS and i + 1 < j and c[i + 1].isdigit():
@@ -69,14 +83,14 @@ def _fields(text: str) -> list[tuple[str, str]] | None:
 
 def word_form(text: str) -> str:
     """The words of the text without case and formatting."""
-    return _words(text.casefold())
+    return _words(fold_case(text))
 
 
 def field_form(text: str) -> str | None:
     """The sorted fields of a text made of ``key: value`` fields only, else None."""
     if ":" not in text and "=" not in text:
         return None
-    fields = _fields(text.casefold())
+    fields = _fields(fold_case(text))
     return None if fields is None else "\x00".join(f"{k}\x01{v}" for k, v in fields)
 
 
@@ -109,37 +123,39 @@ def cheap_invariants(text: Column) -> Column:
 def formatting_copies(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(root, id) for every id whose text has an earlier copy; root is the smallest id of its group.
 
-    Progressive refinement: identical texts first collapse on the map side;
-    distinct texts are partitioned by cheap invariants; only classes of
-    several distinct texts are given the costly forms, which decide: texts are
-    copies if their words are equal, or if both are made of fields only and
-    their sorted fields are equal; prose that merely parses as fields still
-    has its words.  Groups come out as stars, no pairs are made.  Ids delivered twice count once.
-    Null texts and ids take no part; texts of formatting alone are one group.
+    Progressive refinement: one pass gives every row two hashes of its text
+    and one of the cheap invariants, and only these are kept; identical texts
+    collapse by a minimum on the map side; only classes of the invariants with
+    several distinct texts fetch one text each and are given the costly forms,
+    which decide: texts are copies if their words are equal, or if both are
+    made of fields only and their sorted fields are equal; prose that merely
+    parses as fields still has its words.  Classes of words are joined through
+    equal fields as components, so that groups come out as stars; no pairs are
+    made and no group is gathered.  Ids delivered twice count once.  Null
+    texts and ids take no part; texts of formatting alone are one group.
     """
+    from loamstack.operators.components import connected_components
+    from loamstack.runtime import cut
+
     text = F.col("text")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    rows = rows.withColumn("t0", F.xxhash64(F.lit(3), text)).withColumn("t1", F.xxhash64(F.lit(5), text))
-    texts = rows.groupBy("t0", "t1").agg(F.min("id").alias("head"), F.first("text").alias("text"))
-    texts = texts.withColumn("k", cheap_invariants(text))
-    marks = rows.select(cheap_invariants(text).alias("k"), "t0").groupBy("k").agg(
-        F.min("t0").alias("x"), F.max("t0").alias("y")).where("x <> y").select("k")
-    formed = texts.join(marks, "k").select("t0", "t1", "head", _forms_udf(text).alias("form"))
+    held = cut(rows.select("id", F.xxhash64(F.lit(3), text).alias("t0"), F.xxhash64(F.lit(5), text).alias("t1"), cheap_invariants(text).alias("k")))
+    heads = cut(held.groupBy("t0", "t1").agg(F.min("id").alias("head"), F.first("k").alias("k")))
+    mixed = heads.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k")
+    # rows whose text is none of the wanted ones are dropped before the join's shuffle where the planner sees a gain
+    wanted = heads.join(mixed, "k").select(F.col("head").alias("id"), "t0", "t1")
+    formed = rows.dropDuplicates(["id"]).join(wanted, "id").select(F.col("id").alias("head"), "t0", "t1", _forms_udf(text).alias("form"))
     words, fields = F.col("form.words"), F.col("form.fields")
-    c0, c1 = F.xxhash64(F.lit(3), words), F.xxhash64(F.lit(5), words)
-    from loamstack.runtime import cut
-
-    formed = cut(formed.select("t0", "t1", "head", c0.alias("c0"), c1.alias("c1"),
-                               F.when(fields.isNull(), c0).otherwise(F.xxhash64(F.lit(7), fields)).alias("f0"),
-                               F.when(fields.isNull(), c1).otherwise(F.xxhash64(F.lit(9), fields)).alias("f1")))
-    by_words, by_fields = Window.partitionBy("c0", "c1"), Window.partitionBy("f0", "f1")
-    linked = formed.withColumn("root", F.min("head").over(by_words))
-    while True:  # texts of equal words or equal fields, directly or through others
-        linked = cut(linked.withColumn("root", F.min("root").over(by_fields)).withColumn("root", F.min("root").over(by_words)))
-        if linked.groupBy("f0", "f1").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").isEmpty():
-            break
-    roots = linked.where("root <> head").select("t0", "t1", "root")
-    held = rows.select("t0", "t1", "id").repartition("t0", "t1").dropDuplicates(["t0", "t1", "id"])
-    heads = held.groupBy("t0", "t1").agg(F.min("id").alias("head"))
-    return (held.join(heads, ["t0", "t1"]).join(roots, ["t0", "t1"], "left")
-            .withColumn("root", F.coalesce("root", "head")).where("root <> id").select("root", "id"))
+    formed = cut(formed.select("t0", "t1", "head", F.xxhash64(F.lit(3), words).alias("c0"), F.xxhash64(F.lit(5), words).alias("c1"),
+                               F.when(fields.isNotNull(), F.xxhash64(F.lit(7), fields)).alias("f0"), F.when(fields.isNotNull(), F.xxhash64(F.lit(9), fields)).alias("f1")))
+    by_words = formed.groupBy("c0", "c1").agg(F.min("head").alias("root"))
+    linked = cut(formed.join(by_words, ["c0", "c1"]).select("t0", "t1", "head", "root", "f0", "f1"))
+    fielded = linked.where("f0 is not null").select("f0", "f1", "root").distinct()
+    edges = fielded.join(fielded.groupBy("f0", "f1").agg(F.min("root").alias("low")), ["f0", "f1"]).where("root <> low")
+    joined = connected_components(edges.select(F.col("root").alias("a"), F.col("low").alias("b")))
+    linked = linked.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    roots = linked.select("t0", "t1", F.coalesce("top", "root").alias("root")).where("root is not null")
+    all_heads = heads.select("t0", "t1", "head").join(roots, ["t0", "t1"], "left")
+    ids = held.select("t0", "t1", "id").distinct()
+    return (ids.join(all_heads, ["t0", "t1"]).withColumn("root", F.coalesce("root", "head"))
+            .where("root <> id").select("root", "id"))

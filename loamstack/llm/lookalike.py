@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loamstack.runtime import cut
+
 # Letters of other scripts that have the shape of a Latin letter,
-# Cyrillic, Greek, Armenian and phonetic, each with that letter.
+# Cyrillic, Greek, Cherokee, Lisu, Coptic, Armenian and phonetic, each with that letter.
 LETTERS = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q",
     "ѕ": "s", "ѵ": "v", "ԝ": "w", "х": "x", "у": "y", "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I",
@@ -26,7 +28,12 @@ LETTERS = {
     "Ү": "Y", "Ӏ": "I",
     "ο": "o", "ν": "v", "ρ": "p", "ϲ": "c", "ϳ": "j", "υ": "u", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H",
     "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J",
-    "օ": "o", "ո": "n", "ս": "u", "հ": "h", "Օ": "O", "ɑ": "a", "ɡ": "g", "ɩ": "i",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P",
+    "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L",
+    "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "Ⲏ": "H", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T",
+    "օ": "o", "ո": "n", "ց": "g", "ս": "u", "հ": "h", "Օ": "O", "ɑ": "a", "ɡ": "g", "ɩ": "i",
 }
 _FOLDED = ("<wide>", "<narrow>", "<isolated>", "<initial>", "<medial>", "<final>")
 #: Format characters that are visible signs, and joiners handled on their own.
@@ -113,22 +120,45 @@ def canonical_text(text: str | Column) -> Column:
     return F.coalesce(_canonical_udf(odd), text)
 
 
-def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(a, b), a < b: ids whose texts are not the same characters but look the same.
-
-    Only classes of several different texts are joined, on 128-bit hashes of
-    the consistent form; ids delivered twice count once; null texts and null
-    ids take no part.
-    """
+def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, t0, t1, c0, c1), each id once: hashes of the text and of its consistent form, from one pass over the texts."""
     text = F.col("text")
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    rows = rows.withColumn("form", canonical_text("text")).select(
+    hashes = rows.withColumn("form", canonical_text("text")).select(
         "id", F.xxhash64(F.lit(3), text).alias("t0"), F.xxhash64(F.lit(5), text).alias("t1"),
         F.xxhash64(F.lit(3), "form").alias("c0"), F.xxhash64(F.lit(5), "form").alias("c1"))
-    # repartitioned first, so that the distinct, the classes and both sides of the join share one shuffle
-    rows = rows.repartition("c0", "c1").dropDuplicates(["c0", "c1", "t0", "t1", "id"])
-    mixed = rows.groupBy("c0", "c1").agg(F.min("t0").alias("x"), F.max("t0").alias("y")).where("x <> y").select("c0", "c1")
-    left = rows.join(mixed, ["c0", "c1"])
-    right = rows.select("c0", "c1", F.col("id").alias("other"), F.col("t0").alias("o0"), F.col("t1").alias("o1"))
-    return (left.join(right, ["c0", "c1"]).where("id < other and (t0 <> o0 or t1 <> o1)")
-            .select(F.col("id").alias("a"), F.col("other").alias("b")))
+    return cut(cut(hashes).distinct())
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The different texts of the classes that hold several; copies of a text combine on the map side."""
+    texts = rows.groupBy("c0", "c1", "t0", "t1").agg(F.min("id").alias("head"))
+    several = texts.groupBy("c0", "c1").agg(F.count("*").alias("texts"), F.min("head").alias("root")).where("texts > 1")
+    return cut(texts.join(several, ["c0", "c1"]))
+
+
+def lookalike_pairs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(a, b), a < b: ids whose texts are not the same characters but look the same.
+
+    Different texts of one class are paired first, on 128-bit hashes of the
+    consistent form, and only then spread over the ids that hold them; so
+    copies of a text cost what the result has of them.  Ids delivered twice
+    count once; null texts and null ids take no part.
+    """
+    rows = _texts(df, id_col, text_col)
+    texts = _mixed(rows)
+    x = texts.select("c0", "c1", F.col("t0").alias("x0"), F.col("t1").alias("x1"))
+    y = texts.select("c0", "c1", F.col("t0").alias("y0"), F.col("t1").alias("y1"))
+    pairs = x.join(y, ["c0", "c1"]).where("x0 < y0 or (x0 = y0 and x1 < y1)").drop("c0", "c1")
+    left = rows.select(F.col("t0").alias("x0"), F.col("t1").alias("x1"), F.col("id").alias("p"))
+    right = rows.select(F.col("t0").alias("y0"), F.col("t1").alias("y1"), F.col("id").alias("q"))
+    return pairs.join(left, ["x0", "x1"]).join(right, ["y0", "y1"]).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+
+
+def lookalike_groups(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, root, texts) of every id whose text has a look-alike: the smallest id of its class, and its number of different texts.
+
+    One row per id, whatever the number of copies; nulls as in lookalike_pairs.
+    """
+    rows = _texts(df, id_col, text_col)
+    return rows.join(_mixed(rows).select("t0", "t1", "root", "texts"), ["t0", "t1"]).select("id", "root", "texts")

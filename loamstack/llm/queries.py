@@ -69,6 +69,12 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("a").alias("entry_id_a"), F.col("b").alias("entry_id_b"))
 
 
+def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per entry that has a look-alike: its class and the number of different texts in it."""
+    return lookalike.lookalike_groups(_body(spark, sf_dir), "entry_id", "text").select(
+        F.col("id").alias("entry_id"), F.col("root").alias("first_entry_id"), "texts")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     history = _body(spark, sf_dir).select(F.col("entry_id").alias("id"), "file_id", "toks", "eid")
     arrivals = table(spark, sf_dir, "arrivals").select(
@@ -104,4 +110,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p5_found, p5_groups, p6_found, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
