@@ -1,4 +1,13 @@
-"""Documents that hold template residue, filler, error messages or script notices."""
+"""Documents that hold template residue, filler, error messages or script notices.
+
+Records are the sentences of all documents.  Records of one template are
+aligned by the words around a place: a place whose neighbours (one on each
+side, or two on one side) hold different fillers somewhere in the corpus is a
+slot of a template.  A slot that retains a variable name, a default or a blank
+is residue.  Error pages, script notices and dummy texts are whole templates:
+a sentence that is one, and every sentence of the same skeleton (numbers and
+ids apart), is residue wherever it stands.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +15,17 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from loamstack.functions.constants import NO_SPACE
+from loamstack.llm.base import or_fold
+from loamstack.runtime import cut
 
-_INVISIBLE = {i: None for i in range(0x80, 0x10000) if unicodedata.category(chr(i)) == "Cf"}
+_INVISIBLE = re.compile("[" + "".join(chr(i) for i in range(0x80, 0x10000) if unicodedata.category(chr(i)) == "Cf") + "]")
 _BULLET = re.compile(r"^(?:(?:[-*•+>#§]+|\d+[.)]|Q:|A:)\s+)+")
 _SENTENCE = re.compile(r"(?<=[.!?。!?؟])\s+|(?<=[。!?])| - ")
 
@@ -80,12 +96,15 @@ _MARKS = re.compile(r"[\[{<%$@*_:【]")
 
 def clean(text: str) -> str:
     text = text.replace("&nbsp;", " ")
-    return text if text.isascii() else unicodedata.normalize("NFKC", text).translate(_INVISIBLE)
+    return text if text.isascii() else _INVISIBLE.sub("", unicodedata.normalize("NFKC", text))
+
+
+_FIRST_WORDS = re.compile(r"[\W\d_]*" + r"[\W\d_]*".join([r"([^\W\d_]*)"] * 4))
 
 
 def _filler(s: str) -> bool:
     """One word again and again, keyboard mash, or words that nearly all look like dummy Latin."""
-    first = re.findall(r"[^\W\d_]+", s[:80].casefold())[:4]
+    first = [w.casefold() for w in _FIRST_WORDS.match(s[:80]).groups() if w]
     if sum(w.startswith(_LATIN) for w in first) < 2 and not (first and _MASH.match(first[0])) and len(set(first)) == len(first):
         return False
     words = re.findall(r"[^\W\d_]+", s.casefold())
@@ -102,35 +121,185 @@ def _said(s: str) -> str | None:
     return "filler" if _ANY_FILL.fullmatch(s) or _filler(s) else None
 
 
-def kind(entry: str) -> str | None:
-    """placeholder, error, script or filler if the entry or a sentence of it is residue, else None; the entry is cleaned text."""
-    entry = _BULLET.sub("", " ".join(entry.split()))
-    if not entry:
-        return None
-    parts = [p for s in _SENTENCE.split(entry) if (p := s.strip())]
-    for s in parts if parts == [entry] else [entry, *parts]:
-        if found := _said(s):
-            return found
-    for s in parts:
-        if _MARKS.search(s) and PLACEHOLDER.search(s) and not _ABOUT.search(s):
-            return "placeholder"
-    return None
+#: A record's tokens: marked names as a whole, single characters of scripts without spaces, words, numbers.
+_PLAIN_TOKEN = re.compile(rf"[{NO_SPACE}]|[^\W_{NO_SPACE}]+")
+_TOKEN = re.compile(rf"({PLACEHOLDER.pattern})|[{NO_SPACE}]|[^\W_{NO_SPACE}]+")
+_ID = re.compile(r"[^\W_]*\d[^\W_]*")
+CELL_BITS = 24  #: cells of the filters, as a power of two; fixed, 2 MB as bits
+_EDGE = np.uint64(0x9AE16A3B2F90404F)
+_M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def kinds(text: str | None) -> list[str]:
-    """The kinds of residue among the entries of a text, sorted; null and blank have none."""
+def entries_of(text: str | None) -> list[str]:
+    """The entries of a text on one line each, without list marks; null and blank texts have none."""
     if not text or not text.strip():
         return []
-    return sorted({k for line in re.split(r"[\r\n§]+", clean(text)) if (k := kind(line))})
+    lines = (" ".join(x.split()) for x in re.split(r"[\r\n§]+", clean(text)))
+    return [y for x in lines if x and (y := x if x[0].isalpha() and x[1:2] != ":" else _BULLET.sub("", x))]
+
+
+def sentences(entry: str) -> list[str]:
+    return [p for s in _SENTENCE.split(entry) if (p := s.strip())]
+
+
+def whole_template(entry: str, parts: list[str]) -> list[tuple[str, str]]:
+    """(kind, sentence) for what is an error message, a script notice or dummy text as a whole."""
+    return [(k, s) for s in dict.fromkeys([entry, *parts]) if (k := _said(s))]
+
+
+def skeleton(sentence: str) -> int:
+    """A hash of a sentence without case, marks, numbers and ids."""
+    words = _ID.sub("0", sentence.casefold())
+    return xxhash.xxh3_64_intdigest(" ".join(re.findall(r"[^\W_]+", words)))
+
+
+_TWO_WORDS = re.compile(r"[\W_]*([^\W_]*)[\W_]*([^\W_]*)")
+
+
+def opening(sentence: str) -> int:
+    """A hash of the first two words, numbers and ids apart: sentences of one skeleton share it, and it is quickly had."""
+    words = " ".join(_TWO_WORDS.match(sentence).groups()).casefold()
+    return xxhash.xxh3_64_intdigest(_ID.sub("0", words), 7)
+
+
+def _unfilled(sentence: str) -> bool:
+    """Whether a name in template marks stands in a sentence that does not talk about such names."""
+    return bool(_MARKS.search(sentence) and PLACEHOLDER.search(sentence) and not _ABOUT.search(sentence))
+
 
+def kinds(text: str | None) -> list[str]:
+    """The kinds of residue that the entries of a text may hold, by form alone; sorted."""
+    found = set()
+    for entry in entries_of(text):
+        parts = sentences(entry)
+        found.update(k for k, _ in whole_template(entry, parts))
+        if any(map(_unfilled, parts)):
+            found.add("placeholder")
+    return sorted(found)
+
+
+class _Aligned:
+    """Sentences of a batch as one array of token hashes, each with two edges on both sides.
+
+    With ``marked``, only those that hold an unfilled name, and the places of the names.
+    """
+
+    def __init__(self, parts: list[list[str]], marked: bool) -> None:
+        self.hashes: dict[str, int] = {}
+        flat: list[int] = [int(_EDGE)] * 2
+        self.owner: list[int] = []  # row and place of each unfilled name
+        self.place: list[int] = []
+        get, number = self.hashes.get, self._number
+        for row, sentences_ in enumerate(parts):
+            for s in sentences_:
+                if marked:
+                    if not _unfilled(s):
+                        continue
+                    for m in _TOKEN.finditer(s):
+                        if m[1] is not None:
+                            self.owner.append(row)
+                            self.place.append(len(flat))
+                        w = m[0].lower()
+                        flat.append(get(w) or number(w))
+                elif _MARKS.search(s):
+                    flat += [get(w) or number(w) for w in (m[0].lower() for m in _TOKEN.finditer(s))]
+                else:
+                    flat += [get(w) or number(w) for w in _PLAIN_TOKEN.findall(s.lower())]
+                flat += [int(_EDGE)] * 2
+        self.flat = np.array(flat, np.uint64)
+
+    def _number(self, word: str) -> int:
+        h = self.hashes[word] = xxhash.xxh3_64_intdigest(word) or 1
+        return h
+
+    def contexts(self) -> list[np.ndarray]:
+        """Three hashes of the neighbours of each place from the third to the third last."""
+        t = self.flat
+        back2, back, on, on2 = t[:-4], t[1:-3], t[3:-1], t[4:]
+        return [(back * _M1 ^ on) * _M2 + np.uint64(1), (back2 * _M1 ^ back) * _M2 + np.uint64(2), (on * _M1 ^ on2) * _M2 + np.uint64(3)]
+
+
+def _cells(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, kind, h): contexts of unfilled names; skeletons of whole templates, and their openings without a kind."""
     for b in batches:
-        rows = [(i, k) for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()) for k in kinds(t)]
-        ids, found = zip(*rows) if rows else ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], names=["doc_id", "kind"])
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        texts = [[(e, sentences(e)) for e in entries_of(t)] for t in b.column("text").to_pylist()]
+        a = _Aligned([[s for _, parts in t for s in parts] for t in texts], True)
+        rows, place = np.array(a.owner, np.int64), np.array(a.place, np.int64) - 2
+        out = [(ids[rows], np.full(len(rows), "placeholder", object), c[place].view(np.int64)) for c in a.contexts()] if len(rows) else []
+        whole = [(row, k, s) for row, t in enumerate(texts) for e, parts in t for k, s in whole_template(e, parts)]
+        if whole:
+            doc = ids[np.array([row for row, _, _ in whole])]
+            out.append((doc, np.array([k for _, k, _ in whole], object), np.array([skeleton(s) for _, _, s in whole], np.uint64).view(np.int64)))
+            out.append((doc, np.full(len(doc), None, object), np.array([opening(s) for _, _, s in whole], np.uint64).view(np.int64)))
+        for doc, kind, h in out:
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(kind, pa.string()), pa.array(h, pa.int64())], names=["doc_id", "kind", "h"])
+
+
+def _set_cells(arr: np.ndarray, b: pa.RecordBatch) -> None:
+    arr[_cells(b.column("h").to_numpy(zero_copy_only=False).view(np.uint64))] = 1
+
+
+def _fillers(shared):
+    """(h, low, high, doc_id): least and greatest filler of each wanted context of a batch; documents of wanted skeletons."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(shared.value).astype(bool)
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            texts = [[(e, sentences(e)) for e in entries_of(t)] for t in b.column("text").to_pylist()]
+            a = _Aligned([[s for _, parts in t for s in parts] for t in texts], False)
+            filler = a.flat[2:-2]
+            got = []
+            for c in a.contexts():
+                keep = wanted[_cells(c)] & (filler != _EDGE)
+                got.append((c[keep], filler[keep]))
+            h, f = (np.concatenate(x) for x in zip(*got))
+            order = np.lexsort((f, h))
+            h, f = h[order], f[order]
+            if len(h):
+                first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+                last = np.r_[first[1:], len(h)] - 1
+                n = len(first)
+                yield _filler_batch(h[first], f[first], f[last], np.zeros(n, bool), np.zeros(n, np.int64))
+            bits = shared.value
+            seen = [(skeleton(x), d) for d, t in zip(ids.tolist(), texts) for e, parts in t for x in (parts if parts == [e] else (e, *parts))
+                    if bits[(k := opening(x) >> (64 - CELL_BITS)) >> 3] >> (7 - (k & 7)) & 1]
+            if seen:
+                h, d = np.array([s for s, _ in seen], np.uint64), np.array([d for _, d in seen], np.int64)
+                keep = wanted[_cells(h)]
+                yield _filler_batch(h[keep], h[keep], h[keep], np.ones(keep.sum(), bool), d[keep])
+
+    return run
+
+
+def _filler_batch(h: np.ndarray, low: np.ndarray, high: np.ndarray, whole: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(low.view(np.int64)), pa.array(high.view(np.int64)), pa.array(whole, pa.bool_()), pa.array(doc)],
+                                      names=["h", "low", "high", "whole", "doc_id"])
 
 
 def residue(documents: DataFrame) -> DataFrame:
-    """(doc_id, kind) for the documents that hold residue; reads each document once, shuffles nothing."""
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null").mapInArrow(_batches, "doc_id long, kind string")
+    """(doc_id, kind), each once, for the documents that hold residue.
+
+    Two passes over the texts.  The first finds names in template marks with
+    their contexts, and sentences that are whole templates; a bit array of
+    fixed size of their hashes goes to the tasks.  The second aligns all
+    records: of the contexts in the array it counts, on the map side first,
+    whether they hold different fillers.  Only names in slots so induced are
+    residue.  A name at a place that no other record has is no slot; a
+    sentence that speaks about such names is not looked at.  Null and blank
+    texts hold none; equal texts come out each.
+    """
+    docs = documents.selectExpr("cast(doc_id as long) doc_id", "text").where("text is not null")
+    found = cut(docs.mapInArrow(_candidates, "doc_id long, kind string, h long").distinct())
+    bits = or_fold(found.select("h"), 1 << CELL_BITS, "uint8", "or", _set_cells)
+    shared = documents.sparkSession.sparkContext.broadcast(np.packbits(bits))
+    aligned = cut(docs.mapInArrow(_fillers(shared), "h long, low long, high long, whole boolean, doc_id long"))
+    slots = aligned.where("not whole").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("h")
+    named = found.where("kind = 'placeholder'").join(slots, "h").select("doc_id", "kind")
+    templates = found.where("kind <> 'placeholder'").groupBy("h").agg(F.min("kind").alias("kind"))
+    pages = aligned.where("whole").select("h", "doc_id").distinct().join(templates, "h").select("doc_id", "kind")
+    return named.unionByName(pages).distinct()

@@ -35,7 +35,20 @@ def test_kinds():
 
 
 def test_p9_found(spark, tmp_path):
-    rows = [*RESIDUE.items(), *NOTES.items(), (40, RESIDUE[9])]
+    # the same templates with their slots filled: what makes a place a slot
+    filled = ["Dear Marta, your request 17 was moved.", "The ledger from Gijo needs a kitchen plan first.", "决定12:Gijo用绳替换计划。"]
+    rows = [*RESIDUE.items(), *NOTES.items(), (40, RESIDUE[9]), *((50 + k, f"- {t}") for k, t in enumerate(filled))]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = [r.doc_id for r in __spark_entry__.queries()["p9_found"](spark, str(tmp_path)).collect()]
     assert sorted(got) == [*RESIDUE, 40]
+
+
+def test_a_name_at_a_place_of_its_own_is_no_slot(spark, tmp_path):
+    rows = [(1, "Nobody wrote {{like}} this ever."), (2, "Other things are said here.")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = __spark_entry__.queries()["p9_found"]
+    assert q(spark, str(tmp_path)).collect() == []
+    spark.createDataFrame([(3, "Nobody wrote letters this ever."), (4, "ERROR 502 BAD GATEWAY")], "doc_id long, text string").write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(r.doc_id for r in q(spark, str(tmp_path)).collect()) == [1, 4]
+    spark.createDataFrame([], "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert q(spark, str(tmp_path)).collect() == []
