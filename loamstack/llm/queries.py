@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.llm import firstseen, forest, formatting, leaks, lookalike, neardup, packing, residue, terms
-from loamstack.runtime import table
+from loamstack.runtime import cut, table
 
 
 def _body(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,14 +75,37 @@ def p4_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("entry_id"), F.col("root").alias("first_entry_id"), "texts")
 
 
-def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     history = _body(spark, sf_dir).select(F.col("entry_id").alias("id"), "file_id", "toks", "eid")
     arrivals = table(spark, sf_dir, "arrivals").select(
         F.col("entry_id").alias("id"), F.col("batch_no").alias("batch"), "file_id", "toks", "eid")
+    return history, arrivals
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All batches at once; they are taken in their order all the same."""
+    history, arrivals = _history(spark, sf_dir)
     cases, _ = forest.admit(forest.HashForest(spark).add(history), arrivals)
     return cases.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
 
 
+def p6_nightly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same cases night by night: the forest is opened, the batch admitted, what was accepted appended."""
+    history, arrivals = _history(spark, sf_dir)
+    first = arrivals.groupBy("id").agg(F.min("batch").alias("batch"), F.min_by(F.struct("file_id", "toks", "eid"), "batch").alias("x"))
+    nights = cut(first.select("id", "batch", "x.*"))
+    path = forest.HashForest(spark).add(history).path
+    found = None
+    for r in sorted(nights.select("batch").distinct().collect()):  # a few nights
+        opened = forest.HashForest.open(spark, path)
+        cases, accepted = forest.admit(opened, nights.where(F.col("batch") == r.batch))
+        cases = cut(cases)
+        opened.add(accepted)
+        found = cases if found is None else found.unionByName(cases)
+    rows = found if found is not None else history.select(F.col("id").alias("accepted"), "id").where("false")
+    return rows.select(F.col("accepted").alias("accepted_entry_id"), F.col("id").alias("entry_id"))
+
+
 def p6_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cases of p6_found with the first_seen of the accepted entry."""
     standing = firstseen.standing(_body(spark, sf_dir), table(spark, sf_dir, "arrivals"), table(spark, sf_dir, "state"))
@@ -110,4 +133,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_nightly, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
