@@ -1,4 +1,14 @@
-"""Documents into context windows: best fit decreasing on a histogram of sizes, with a lower bound."""
+"""Documents into context windows: best fit decreasing by partition, certified by a lower bound, repacked where a gap is left.
+
+Texts of one size can stand for each other, so all decisions are made on
+histograms of sizes, of the documents and of each of SALTS partitions of them;
+a histogram is no larger than the window, however many the documents.  Every
+partition is packed by best fit decreasing, and dual feasible functions say
+how few windows it needs at least.  Windows that are not full give their
+documents up for exchange with the other partitions, and these are packed
+again; while the sum stays above the bound of the whole, full windows in turn
+are opened too and join the exchange.
+"""
 
 from __future__ import annotations
 
@@ -115,6 +125,100 @@ def lower_bound(sizes: dict[int, int], capacity: int) -> int:
     return best
 
 
+Pattern = tuple[tuple[int, int], ...]  #: what a window holds: (size, number), larger sizes first
+
+
+def patterns(runs: list[tuple[int, int, int, int, int]]) -> dict[Pattern, int]:
+    """How many windows hold what, from the runs of best_fit; windows between two ends of runs are alike."""
+    ranges = [(window, window + -(-number // each), size, each) for size, _, number, window, each in runs]
+    opens, closes = defaultdict(list), defaultdict(list)
+    for begin, end, size, each in ranges:
+        opens[begin].append((size, each))
+        closes[end].append((size, each))
+    out: dict[Pattern, int] = defaultdict(int)
+    held: dict[int, int] = defaultdict(int)
+    cuts = sorted({*opens, *closes})
+    for at, until in zip(cuts, cuts[1:]):
+        for size, each in closes[at]:
+            held[size] -= each
+        for size, each in opens[at]:
+            held[size] += each
+        content = tuple(sorted(((z, k) for z, k in held.items() if k), reverse=True))
+        if content:
+            out[content] += until - at
+    return dict(out)
+
+
+def load(pattern: Pattern) -> int:
+    return sum(size * k for size, k in pattern)
+
+
+def _open(found: dict[Pattern, int]) -> dict[int, int]:
+    """The sizes that the windows hold."""
+    sizes: dict[int, int] = defaultdict(int)
+    for content, n in found.items():
+        for size, k in content:
+            sizes[size] += k * n
+    return dict(sizes)
+
+
+def repack(partitions: list[dict[int, int]], capacity: int, rounds: int = 40) -> tuple[dict[Pattern, int], int, int]:
+    """(windows by content, partitions whose certificate had no gap, rounds of exchange) of partitions given as {size: number}.
+
+    Stops as soon as the number of windows is the lower bound of all sizes
+    together, or after ``rounds`` exchanges without one; the fewest windows
+    seen stand.
+    """
+    whole: dict[int, int] = defaultdict(int)
+    kept: dict[Pattern, int] = defaultdict(int)
+    pool: dict[int, int] = defaultdict(int)
+    certified = 0
+    for sizes in partitions:
+        if not sizes:
+            continue
+        runs, windows = best_fit(sizes, capacity)
+        certified += windows == lower_bound(sizes, capacity)
+        for size, n in sizes.items():
+            whole[size] += n
+        for content, n in patterns(runs).items():
+            if load(content) == capacity:
+                kept[content] += n
+            else:
+                for size, n_ in _open({content: n}).items():
+                    pool[size] += n_
+    bound = lower_bound(dict(whole), capacity) if whole else 0
+    best = dict(kept)
+    for content, n in patterns(best_fit(dict(pool), capacity)[0]).items():
+        best[content] = best.get(content, 0) + n
+    used = 0
+    share = 1
+    while sum(best.values()) > bound and used < rounds:
+        # every window that is not full, and of the full ones another share each time, smaller sizes first
+        full = sorted((c for c in best if load(c) == capacity), key=lambda c: (-len(c), c[-1]))
+        opened = {c: n for c, n in best.items() if load(c) < capacity}
+        opened |= {c: best[c] for k, c in enumerate(full) if k % rounds == used or k < share}
+        tried = patterns(best_fit(_open(opened), capacity)[0])
+        if sum(tried.values()) < sum(opened.values()):
+            rest = {c: n for c, n in best.items() if c not in opened}
+            for c, n in tried.items():
+                rest[c] = rest.get(c, 0) + n
+            best = rest
+        used, share = used + 1, share * 2
+    return best, certified, used
+
+
+def layout(found: dict[Pattern, int]) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Runs as of best_fit, and the number of windows, for windows given by content."""
+    taken: dict[int, int] = defaultdict(int)
+    runs, window = [], 0
+    for content, n in sorted(found.items(), reverse=True):
+        for size, k in content:
+            runs.append((size, taken[size], k * n, window, k))
+            taken[size] += k * n
+        window += n
+    return runs, window
+
+
 def parts(counts: DataFrame, capacity: int) -> DataFrame:
     """(doc_id, part, size): a text is one part, or, if it is larger than the window, full windows and a rest."""
     c = F.lit(capacity).cast("long")
@@ -135,8 +239,8 @@ def _place(shared):
     return run
 
 
-def pack(counts: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
-    """((window, doc_id, part, tokens), windows, lower bound); windows are numbered from 0.
+def pack(counts: DataFrame, capacity: int) -> tuple[DataFrame, int, int, int, int]:
+    """((window, doc_id, part, tokens), windows, lower bound, certified partitions, exchanges); windows are numbered from 0.
 
     Only the histogram of sizes comes to the driver, at most SALTS rows for
     each size up to the capacity, whatever the number of documents.
@@ -144,11 +248,14 @@ def pack(counts: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
     p = parts(counts, capacity).withColumn("salt", F.pmod(F.xxhash64("doc_id", "part"), F.lit(SALTS)).cast("int"))
     seen = sorted(tuple(r) for r in p.groupBy("size", "salt").count().collect())
     sizes: dict[int, int] = {}
+    partitions: list[dict[int, int]] = [{} for _ in range(SALTS)]
     offsets = np.zeros((capacity + 1) * SALTS, np.int64)
     for size, salt, n in seen:
         offsets[size * SALTS + salt] = sizes.get(size, 0)
         sizes[size] = sizes.get(size, 0) + n
-    runs, windows = best_fit(sizes, capacity)
+        partitions[salt][size] = n
+    found, certified, exchanges = repack(partitions, capacity)
+    runs, windows = layout(found)
     runs.sort()
     cols = np.array(runs, np.int64).reshape(-1, 5)
     spark = counts.sparkSession
@@ -163,16 +270,16 @@ def pack(counts: DataFrame, capacity: int) -> tuple[DataFrame, int, int]:
 
     order = Window.partitionBy("size", "salt").orderBy("doc_id", "part")
     ranked = p.withColumn("k", F.row_number().over(order).cast("long")).mapInArrow(rank, "doc_id long, part long, size long, rank long")
-    return ranked.mapInArrow(_place(shared), "window long, doc_id long, part long, tokens long"), windows, lower_bound(sizes, capacity)
+    return ranked.mapInArrow(_place(shared), "window long, doc_id long, part long, tokens long"), windows, lower_bound(sizes, capacity), certified, exchanges
 
 
-def pack_contexts(documents: DataFrame, contexts: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int, int]]]:
-    """((context_id, window, doc_id, part, tokens) for every context, [(context_id, capacity, windows, lower bound)])."""
+def pack_contexts(documents: DataFrame, contexts: DataFrame) -> tuple[DataFrame, list[tuple[int, ...]]]:
+    """((context_id, window, doc_id, part, tokens) for every context, [(context_id, capacity, windows, lower bound, certified partitions, exchanges)])."""
     counts = cut(token_counts(documents))
     result, certificates = None, []
     for context, capacity in sorted(tuple(r) for r in contexts.select("context_id", "capacity_tokens").distinct().collect()):
-        rows, windows, bound = pack(counts, capacity)
-        certificates.append((context, capacity, windows, bound))
+        rows, *certificate = pack(counts, capacity)
+        certificates.append((context, capacity, *certificate))
         rows = rows.select(F.lit(context).alias("context_id"), "window", "doc_id", "part", "tokens")
         result = rows if result is None else result.unionByName(rows)
     return result, certificates

@@ -121,7 +121,7 @@ def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The windows that p7_packing takes of each context, and how many any packing needs at least."""
     _, rows = packing.pack_contexts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "contexts"))
-    return spark.createDataFrame(rows, "context_id int, capacity_tokens int, windows long, bound long")
+    return spark.createDataFrame(rows, "context_id int, capacity_tokens int, windows long, bound long, certified int, exchanges int")
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

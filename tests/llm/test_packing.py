@@ -55,3 +55,23 @@ def test_p7_packing(spark, tmp_path):
         assert all(n == -(-doc[d] // capacity) for d, n in Counter(r.doc_id for r in own).items())
         bounds = {r.context_id: r for r in __spark_entry__.queries()["p7_bounds"](spark, str(tmp_path)).collect()}
         assert sorted(load) == list(range(bounds[context].windows)) and bounds[context].bound <= bounds[context].windows
+
+
+def test_repacking_places_everything_and_closes_gaps():
+    from loamstack.llm.packing import layout, load, repack
+    rnd = random.Random(7)
+    for capacity in (20, 100, 512):
+        for _ in range(20):
+            parts = [Counter(rnd.randint(1, capacity) if rnd.random() < .3 else rnd.randint(1, capacity // 3) for _ in range(rnd.randint(0, 120))) for _ in range(8)]
+            whole = sum(parts, Counter())
+            found, certified, rounds = repack([dict(p) for p in parts], capacity)
+            held = Counter()
+            for content, n in found.items():
+                assert load(content) <= capacity
+                for size, k in content:
+                    held[size] += k * n
+            assert held == whole and 0 <= certified <= 8
+            windows = sum(found.values())
+            assert lower_bound(whole, capacity) <= windows <= lower_bound(whole, capacity) * 1.02 + 1
+            runs, n = layout(found)
+            assert n == windows and Counter({s: sum(r[2] for r in runs if r[0] == s) for s in whole}) == whole
