@@ -1,4 +1,4 @@
-"""Frequencies of all terms by hash prefixes on disk, one shuffle and DuckDB."""
+"""Frequencies of all terms by recursive radix partitions on disk, each aggregated by DuckDB."""
 
 from __future__ import annotations
 
@@ -10,10 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.runtime import fresh_path
+from loamstack.llm.base import or_fold
+from loamstack.runtime import fresh_path, remove
 
 RADIX_BITS = 6
-PART_ROWS = 2_000_000  #: partial counts one aggregation takes on average at most
+SPLIT_BITS = 4  #: bits by which an oversized partition is split further
+PART_ROWS = 2_000_000  #: partial counts one aggregation takes at most, unless they are of a few terms
+HASH_BITS = 60
+ID_CELLS = 1 << 24  #: cells by which ids that may repeat are told from the others
 FLUSH_ROWS = 1_000_000  #: distinct terms a map task keeps before it hands them on
 
 _PARTIAL = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
@@ -58,27 +62,51 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _fold(kept).combine_chunks().to_batches(max_chunksize=100_000)
 
 
-def _aggregate(spill: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import duckdb
+def _aggregate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The terms of stored partitions, one partition after the other."""
+    import duckdb
+    import pyarrow.dataset as ds
+    from pyarrow import fs
 
-        first = next(batches, None)
-        if first is None:
-            return
-
-        def chain() -> Iterator[pa.RecordBatch]:
-            yield first
-            yield from batches
-
-        stream = pa.RecordBatchReader.from_batches(first.schema, chain())  # noqa: F841  (DuckDB reads it by name)
-        con = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": spill})
-        out = con.sql(
-            "SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records "
-            "FROM stream GROUP BY term").to_arrow_reader(100_000)
-        yield from out
-        con.close()
-
-    return run
+    for b in batches:
+        for uri in b.column("leaf").to_pylist():
+            system, path = fs.FileSystem.from_uri(uri)
+            stored = ds.dataset(path, filesystem=system, format="parquet", partitioning=None)
+            stream = stored.scanner(columns=["term", "occurrences", "records"], batch_size=100_000).to_reader()  # noqa: F841  (DuckDB reads it by name)
+            con = duckdb.connect(config={"threads": 1, "memory_limit": "700MB", "temp_directory": ""})
+            yield from con.sql(
+                "SELECT term, CAST(sum(occurrences) AS BIGINT) AS occurrences, CAST(sum(records) AS BIGINT) AS records "
+                "FROM stream GROUP BY term").to_arrow_reader(100_000)
+            con.close()
+
+
+def _once(df: DataFrame, id_col: str, toks_col: str) -> DataFrame:
+    """(toks) of each record once; only records whose id may repeat are shuffled, and those by id."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(toks_col).alias("toks"))
+
+    def cell(ids: pa.Array) -> np.ndarray:
+        return (ids.to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(40)).astype(np.int64)
+
+    def add(arr: np.ndarray, b: pa.RecordBatch) -> None:
+        cells, n = np.unique(cell(b.column("h")), return_counts=True)
+        arr[cells] = np.minimum(arr[cells].astype(np.int64) + n, 2)
+
+    several = or_fold(rows.select(F.xxhash64("id").alias("h")), ID_CELLS, "uint8", "two", add) > 1
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(several))
+
+    def pick(wanted: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = shared.value
+            for b in batches:
+                c = cell(b.column("h"))
+                keep = ((bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 == 1) == wanted
+                yield b.filter(pa.array(keep))
+        return run
+
+    hashed = rows.withColumn("h", F.xxhash64("id"))
+    alone = hashed.mapInArrow(pick(False), hashed.schema).select("toks")
+    again = hashed.mapInArrow(pick(True), hashed.schema).groupBy("id").agg(F.first("toks", ignorenulls=True).alias("toks")).select("toks")
+    return alone.unionByName(again).where(F.size("toks") > 0)
 
 
 def term_frequencies(df: DataFrame, id_col: str, toks_col: str) -> DataFrame:
@@ -86,51 +114,40 @@ def term_frequencies(df: DataFrame, id_col: str, toks_col: str) -> DataFrame:
 
     Map tasks count what they hold, so that a term of a third of all rows
     leaves each task as one row; the partial counts go to disk in the shared
-    folder, partitioned by the first bits of the term's hash.  Prefixes of
-    more than PART_ROWS rows are counted again by further bits, but nothing is
-    written again: the counts only choose the number of tasks and the bits of
-    the key by which one shuffle deals the stored rows.  A task may get several
-    prefixes, so PART_ROWS is a mean and bounds no task; DuckDB aggregates what
-    a task gets, spilling to the shared folder where that is a file system.
+    folder, partitioned by the first bits of the term's hash.  Partitions of
+    more than PART_ROWS rows are written again by further bits, and so on,
+    until each fits or only a few terms are left in it; then every partition
+    is read where it lies and aggregated by DuckDB on its own, without
+    another shuffle.  The driver sees one row for each partition.
 
     A record delivered twice (same id) counts once, by its first non-null
     list.  Null lists and null terms count nothing, the empty term is a term;
     terms are compared as stored.  An empty table gives an empty result.
     """
     spark = df.sparkSession
-    once = df.groupBy(F.col(id_col).alias("id")).agg(F.first(toks_col, ignorenulls=True).alias("toks"))
-    part = once.where(F.size("toks") > 0).select("toks").mapInArrow(_partial, "term string, occurrences long, records long")
-    path = fresh_path(spark, "terms")
-    h = F.xxhash64("term")
+    part = _once(df, id_col, toks_col).mapInArrow(_partial, "term string, occurrences long, records long")
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    (part.withColumn("h", h).withColumn("radix", F.shiftrightunsigned("h", 64 - RADIX_BITS).cast("int"))
-     .repartition(n, "radix").write.partitionBy("radix").parquet(path))
-    stored = spark.read.schema("term string, occurrences long, records long, h long, radix int").parquet(path)
-
-    def sizes(bits: int, within: list[tuple[int, int]] | None) -> dict[tuple[int, int], int]:
-        leaf = F.shiftrightunsigned("h", 64 - bits)
-        rows = stored
-        if within is not None:
-            rows = rows.where(F.col("radix").isin(sorted({v >> (b - RADIX_BITS) for v, b in within})))
-        return {(r[0], bits): r[1] for r in rows.groupBy(leaf).count().collect()}
-
-    # leaves: (prefix value, bits); at most 2^RADIX_BITS plus what PART_ROWS splits off, only counted
-    leaves, todo, bits = {}, sizes(RADIX_BITS, None), RADIX_BITS
-    while todo:
-        large = {k: c for k, c in todo.items() if c > PART_ROWS}
-        leaves.update({k: c for k, c in todo.items() if k not in large})
-        if not large or bits + 4 > 40:
-            leaves.update(large)
+    bits = max(RADIX_BITS, (n - 1).bit_length())
+    rows, leaves, emptied = part.withColumn("h", F.xxhash64("term")), [], []
+    while True:
+        path = fresh_path(spark, "terms")
+        (rows.withColumn("radix", F.shiftrightunsigned("h", 64 - bits)).repartition(n, "radix")
+         .write.partitionBy("radix").parquet(path))
+        stored = spark.read.schema("term string, occurrences long, records long, h long, radix long").parquet(path)
+        for folder in emptied:
+            remove(spark, folder)
+        sizes = stored.groupBy("radix").count().collect()
+        large = {r.radix for r in sizes if r["count"] > PART_ROWS} if bits + SPLIT_BITS <= HASH_BITS else set()
+        leaves += [f"{path}/radix={r.radix}" for r in sizes if r.radix not in large]
+        if not large:
             break
-        bits += 4
-        finer = sizes(bits, list(large))
-        todo = {k: c for k, c in finer.items() if (k[0] >> 4, bits - 4) in large}
-    deepest = max((b for _, b in leaves), default=RADIX_BITS)
-    key = F.shiftrightunsigned("h", 64 - deepest)
-    spill = path.removeprefix("file:").replace("//", "/") + "-spill" if path.startswith(("/", "file:")) else ""
-    tasks = max(n, -(-sum(leaves.values()) // PART_ROWS))
-    return (stored.repartition(tasks, key).select("term", "occurrences", "records")
-            .mapInArrow(_aggregate(spill), "term string, occurrences long, records long"))
+        emptied = [f"{path}/radix={r}" for r in large]
+        rows = spark.read.schema("term string, occurrences long, records long, h long").parquet(*emptied)
+        bits += SPLIT_BITS
+    if not leaves:
+        return part.where("false")
+    return spark.createDataFrame([(x,) for x in leaves], "leaf string").repartition(min(len(leaves), 4 * n)).mapInArrow(
+        _aggregate, "term string, occurrences long, records long")
 
 
 def mark_terms(terms: DataFrame, total: int, rare: int = 3, common_percent: int = 2) -> DataFrame:
