@@ -9,11 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstack.runtime import table
-
-
-def entries(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "entries")
+LANES = 32  #: arrays of a chunk that the first level keeps apart
 
 
 def token_set(toks: str | Column, *scope: Column) -> Column:
@@ -40,11 +36,14 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
     """A fixed-size array over all rows, by partition and then by chunk.
 
     ``add`` updates a partition's array; the arrays are cut into 64 chunks,
-    summed or or-ed chunk by chunk on the executors, and only the finished
-    array (``cells`` items, whatever the input) comes to the driver.
+    summed or or-ed chunk by chunk on the executors in two levels, first those
+    of every LANES-th task, and only the finished array (``cells`` items,
+    whatever the input) comes to the driver.
     """
     import zlib
 
+    from pyspark import TaskContext
+
     chunks = 64
     width = cells // chunks
 
@@ -55,15 +54,17 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
                 seen = True
                 add(arr, b)
         if seen:
-            parts = [(k, zlib.compress(arr[k * width:(k + 1) * width].tobytes(), 1)) for k in range(chunks)]
+            lane = TaskContext.get().partitionId() % LANES
+            pieces = (arr[k * width:(k + 1) * width] for k in range(chunks))
+            parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(pieces) if p.any()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())],
-                names=["chunk", "cells"])
+                [pa.array([lane] * len(parts), pa.int32()), pa.array([k for k, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())],
+                names=["lane", "chunk", "cells"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
-            for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for k, v in zip(b.column("chunk").to_pylist(), b.column("cells").to_pylist()):
                 part = np.frombuffer(zlib.decompress(v), dtype)
                 if k not in total:
                     total[k] = part.copy()
@@ -78,8 +79,10 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
                 [pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())],
                 names=["chunk", "cells"])
 
-    rows = (df.mapInArrow(partial, "chunk int, cells binary").repartition(8, "chunk")
-            .mapInArrow(merge, "chunk int, cells binary").collect())
+    level = df.mapInArrow(partial, "lane int, chunk int, cells binary")
+    if LANES > 1:
+        level = level.repartition("lane", "chunk").mapInArrow(merge, "chunk int, cells binary")
+    rows = level.repartition(8, "chunk").mapInArrow(merge, "chunk int, cells binary").collect()
     out = np.zeros(cells, dtype)
     for k, v in rows:
         out[k * width:(k + 1) * width] = np.frombuffer(zlib.decompress(bytes(v)), dtype)

@@ -13,7 +13,9 @@ J >= num/den means an overlap of at least num/den * |q| and of at least
 num/(num+den) * (|q|+|r|).  So the first common token stands within the first
 |q| - ceil(num/den |q|) + 1 tokens of q and the first |r| - ceil(2num/(num+den) |r|) + 1
 of r, and the second one at most one further.  Frequent tokens are joined as
-pairs (the first two common tokens), all others alone.
+pairs (the first two common tokens), all others alone; sets so small that one
+common token can make them near have their frequent tokens alone as well, so
+nothing is lost at any threshold.
 """
 
 from __future__ import annotations
@@ -28,7 +30,6 @@ from pyspark.sql import functions as F
 from loamstack.llm.base import list_parts, or_fold, token_set
 
 COUNTERS = 1 << 22  #: token counters; fixed, 8 MB as 16-bit numbers
-GROUP_COUNTERS = 1 << 16
 KEY_BITS = 24  #: cells of the key filter, as a power of two; 2 MB as bits
 HOT = 2000  #: tokens of more records than this are joined as pairs
 MEMBERS = 8  #: classes a group is meant to hold
@@ -38,15 +39,13 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(42)).astype(np.int64)
 
 
-def _group_bucket(g: np.ndarray) -> np.ndarray:
-    return (g.view(np.uint64) >> np.uint64(48)).astype(np.int64)
-
-
 def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None = None) -> DataFrame:
     """(id, hs, f, g): the token set, its fingerprint and its similarity key.
 
-    The key is made of the three smallest and three largest hashes, a min-hash
-    of six values that the sorted set gives for nothing.  Rows without tokens,
+    The key is made of the two smallest hashes and the largest one, a min-hash
+    of three values that the sorted set gives for nothing: two sets at a
+    similarity of 3/4 share it with a chance of 0.42, so that groups gather
+    what is alike; what they do not gather is found all the same.  Rows without tokens,
     or without a scope where one is asked for, are near to nothing and absent.
     """
     scope = [F.col(scope_col)] if scope_col else []
@@ -55,15 +54,13 @@ def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None
     s = s.where(F.size("hs") > 0)
     return s.select(
         "id", "hs", F.xxhash64(F.lit(7), "hs").alias("f"),
-        F.xxhash64(F.lit(11), F.slice("hs", 1, 3), F.slice("hs", F.greatest(F.size("hs") - 2, F.lit(1)), F.lit(3))).alias("g"))
+        F.xxhash64(F.lit(11), F.slice("hs", 1, 2), F.element_at("hs", -1)).alias("g"))
 
 
 def _count(arr: np.ndarray, batch: pa.RecordBatch) -> None:
     _, flat = list_parts(batch.column("hs"))
     if len(flat):
-        arr[:COUNTERS] += np.bincount(_bucket(flat), minlength=COUNTERS).astype(np.uint32)
-    g = batch.column("g").to_numpy(zero_copy_only=False)
-    arr[COUNTERS:] += np.bincount(_group_bucket(g), minlength=GROUP_COUNTERS).astype(np.uint32)
+        arr += np.bincount(_bucket(flat), minlength=COUNTERS).astype(np.uint32)
 
 
 def _prefix_keys(off: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, den: int, probe: bool):
@@ -77,8 +74,9 @@ def _prefix_keys(off: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, d
     need = -(-num * n // den) if probe else -(-2 * num * n // (num + den))
     prefix = np.repeat(n - need, n)
     hot = c > HOT
+    lone = np.repeat(need < 2, n)  # sets of which one shared token may be enough
     # single keys: tokens that are not frequent and that other records have
-    m = (pos <= prefix) & ~hot & (c > 1)
+    m = (pos <= prefix) & (~hot | lone) & (c > 1)
     keys, rows, at = [h[m]], [row[m]], [pos[m]]
     # pairs of frequent tokens, the second at most one place further
     m = (pos <= prefix + 1) & hot
@@ -180,19 +178,13 @@ def near_links(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     key filter (10 MB, whatever the input) is broadcast.  An empty input gives an empty result.
     """
     spark = sets.sparkSession
-    counts = or_fold(sets.select("hs", "g"), COUNTERS + GROUP_COUNTERS, "uint32", "sum", _count)
-    parts = np.minimum(-(-counts[COUNTERS:].astype(np.int64) // MEMBERS), 1 << 15).astype(np.int64)
-    shared = spark.sparkContext.broadcast(np.minimum(counts[:COUNTERS], 65535).astype(np.uint16))
+    counts = or_fold(sets.select("hs"), COUNTERS, "uint32", "sum", _count)
+    shared = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))
     useful = spark.sparkContext.broadcast(_useful(sets, shared, num, den))
-    busy = np.flatnonzero(parts > 1)
-    salts = spark.createDataFrame(
-        [(int(b), int(parts[b])) for b in busy], "gb int, parts int") if len(busy) else None
-    keyed = sets.select("hs", "f", "g")
-    if salts is not None:  # at most GROUP_COUNTERS rows
-        keyed = (keyed.withColumn("gb", F.shiftrightunsigned("g", 48).cast("int")).join(F.broadcast(salts), "gb", "left")
-                 .withColumn("gk", F.xxhash64("g", F.pmod("f", F.coalesce("parts", F.lit(1))))))
-    else:
-        keyed = keyed.withColumn("gk", F.xxhash64("g", F.lit(0)))
+    # groups of many rows are cut into parts by fingerprint; joined as the planner sees fit for their number
+    large = sets.groupBy("g").agg(F.count("*").alias("n")).where(f"n > {MEMBERS}").select("g", F.ceil(F.col("n") / MEMBERS).alias("parts"))
+    keyed = (sets.select("hs", "f", "g").join(large, "g", "left")
+             .withColumn("gk", F.xxhash64("g", F.pmod("f", F.coalesce("parts", F.lit(1))))))
     groups = keyed.groupBy("gk").agg(F.first("g").alias("g"), F.collect_set(F.struct("f", "hs")).alias("members"))
 
     def side(probe: bool, schema: str) -> DataFrame:
