@@ -129,8 +129,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(F.col("longest_run") >= leaks.RUN).select("doc_id", "item_id").distinct()
 
 
+def p8_alignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and items that share a seed, with the alignment: edited copies come out by their score."""
+    return leaks.leak_alignments(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.residue(table(spark, sf_dir, "documents")).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_nightly, p6_first_seen, p7_packing, p7_bounds, p8_found, p9_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_records, p2_found, p2_counts, p3_found, p3_terms, p4_found, p4_groups, p5_found, p5_groups, p6_found, p6_nightly, p6_first_seen, p7_packing, p7_bounds, p8_found, p8_alignments, p9_found)}

@@ -56,3 +56,14 @@ m AS (SELECT *, CASE WHEN records < 3 THEN 'rare' WHEN records * 100 > 2 * (SELE
 SQL["p3_terms"] = _TERMS + "SELECT term, occurrences, records, mark FROM m"
 
 SQL["p3_found"] = _TERMS + "SELECT term, mark FROM m WHERE mark IS NOT NULL"
+
+_FULL = "".join(chr(i) for i in range(0xFF01, 0xFF5F)).replace("'", "''")
+_NARROW = "".join(chr(i - 0xFEE0) for i in range(0xFF01, 0xFF5F)).replace("'", "''")
+_WORDS = (r"regexp_extract_all(nfc_normalize(lower(translate(regexp_replace(replace(text, '&nbsp;', ' '), '\p{Cf}', '', 'g'), '"
+          + _FULL + "', '" + _NARROW + r"'))), '[\p{L}\p{N}]+')")
+
+SQL["p8_found"] = f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_WORDS} AS w FROM eval_items),
+dr AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 10], ' ') AS run FROM (SELECT doc_id, w, unnest(range(len(w) - 9)) AS k FROM d)),
+ir AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 10], ' ') AS run FROM (SELECT item_id, w, unnest(range(len(w) - 9)) AS k FROM i))
+SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""

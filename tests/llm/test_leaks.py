@@ -41,3 +41,22 @@ def test_p8_found_is_brute_force(spark, tmp_path):
     rows = __spark_entry__.queries()["p8_found"](spark, str(tmp_path)).collect()
     assert len(rows) == len({tuple(r) for r in rows})
     assert {tuple(r) for r in rows} == _brute(DOCS, items) == {(1, 1), (2, 1), (5, 1), (6, 1), (7, 1), (7, 2), (10, 1)}
+
+
+def test_alignments_of_edited_and_short_items(spark):
+    from loamstack.llm.leaks import leak_alignments
+    edited = ITEM.replace("Velako", "the Velako").replace("twice", "again")
+    docs = [(1, f"a {edited} b"), (2, "see the red map of Gijo tonight"), (3, "red map"), (4, "nothing here"), (4, "nothing here"), (None, ITEM)]
+    items = [(1, ITEM), (2, "the red map of Gijo tonight"), (3, "Red map!"), (4, None), (5, "")]
+    got = {(r.doc_id, r.item_id): r for r in leak_alignments(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 2), (2, 3), (3, 3)}
+    assert got[1, 1].matched == len(ITEM.split()) - 1 and got[1, 1].longest_run >= 5 and got[2, 3].longest_run == 2
+
+
+def test_seeds_cover_every_window():
+    from loamstack.llm.leaks import SEED, choose_seeds
+    counts = {k: (k * 7) % 5 for k in range(40)}
+    seeds = choose_seeds(40 + SEED - 1, counts)
+    assert all(any(at <= k <= at + RUN - SEED for k in seeds) for at in range(40 - (RUN - SEED)))
+    assert choose_seeds(3, {0: 4}) == {0}
