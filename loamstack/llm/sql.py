@@ -67,3 +67,21 @@ WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents WHERE text IS NOT NULL),
 dr AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1:k + 10], ' ') AS run FROM (SELECT doc_id, w, unnest(range(len(w) - 9)) AS k FROM d)),
 ir AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 10], ' ') AS run FROM (SELECT item_id, w, unnest(range(len(w) - 9)) AS k FROM i))
 SELECT DISTINCT doc_id, item_id FROM dr JOIN ir USING (run)"""
+
+#: Arrivals one by one, file by file; the list holds what was accepted of them so far.
+SQL["p6_found"] = SQL["p6_nightly"] = """
+WITH RECURSIVE h AS (SELECT DISTINCT entry_id AS id, file_id, toks, eid FROM entries WHERE NOT coalesce(is_header, false)),
+a AS (SELECT entry_id AS id, batch_no, file_id, toks, eid FROM arrivals QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY batch_no) = 1),
+r AS (SELECT id, file_id, toks, eid, true AS old FROM h UNION ALL SELECT id, file_id, toks, eid, false FROM a),
+t AS (SELECT DISTINCT id, file_id, old, unnest(toks) AS tok FROM r),
+n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+near AS (SELECT u, v, old FROM (SELECT x.id AS u, y.id AS v, x.old, count(*) AS o FROM t x JOIN t y ON x.file_id = y.file_id AND x.tok = y.tok AND NOT y.old AND x.id <> y.id GROUP BY ALL) s
+  JOIN n p ON p.id = u JOIN n q ON q.id = v WHERE 4 * o >= 3 * (p.n + q.n - o)),
+rel AS (SELECT u, v, old FROM near UNION SELECT x.id, y.id, x.old FROM r x JOIN a y ON x.file_id = y.file_id AND x.eid = y.eid AND x.id <> y.id),
+was AS (SELECT v, min(u) FILTER (WHERE old) AS old, coalesce(list(u) FILTER (WHERE NOT old), []) AS us FROM rel GROUP BY v),
+steps AS (SELECT a.id, a.file_id, w.old, coalesce(w.us, []) AS us, row_number() OVER (PARTITION BY a.file_id ORDER BY batch_no, a.id) AS k
+  FROM a LEFT JOIN was w ON w.v = a.id WHERE a.file_id IS NOT NULL),
+walk AS (SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken, CAST(NULL AS BIGINT) AS id, CAST(NULL AS BIGINT) AS first FROM steps
+  UNION ALL SELECT file_id, k, CASE WHEN first IS NULL THEN list_append(taken, id) ELSE taken END, id, first FROM
+  (SELECT w.file_id, s.k, w.taken, s.id, least(s.old, list_min(list_intersect(s.us, w.taken))) AS first FROM walk w JOIN steps s ON s.file_id = w.file_id AND s.k = w.k + 1))
+SELECT first AS accepted_entry_id, id AS entry_id FROM walk WHERE first IS NOT NULL"""
