@@ -1 +1 @@
-
+"""Text and similarity functions as Column expressions."""

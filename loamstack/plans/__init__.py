@@ -1 +1 @@
-
+"""Whole runs, their options, and the catalogue of queries."""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstack.functions import text as T
-from loamstack.operators import ageing, duplicates, pairs, squeeze, supersede
+from loamstack.operators import ageing, duplicates, guards, pairs, squeeze, supersede
 from loamstack.operators import themes as theming
 from loamstack.operators.entries import content_size, stored
 from loamstack.operators.writer import serialize
@@ -224,6 +224,11 @@ def over_budget(spark: SparkSession, d: str) -> DataFrame:
     return squeeze.over_budget(_entries(spark, d), _files(spark, d))
 
 
+@query
+def comparison_counts(spark: SparkSession, d: str) -> DataFrame:
+    return guards.comparisons(_entries(spark, d))
+
+
 @query
 def squeezed(spark: SparkSession, d: str) -> DataFrame:
     """The budget alone, over all entries as they stand."""
@@ -285,6 +290,13 @@ def archive_records(spark: SparkSession, d: str) -> DataFrame:
     return pipeline.archive_records(_plan(spark, d).actions, options.stamp())
 
 
+@query
+def consolidated_changes(spark: SparkSession, d: str) -> DataFrame:
+    """What a run without age limit and budgets would change, without writing it."""
+    plan = _plan(spark, d, False)
+    return pipeline.changes(plan.entries.select("file_id", "text"), plan.kept.select("file_id", "text"))
+
+
 @query
 def conserved(spark: SparkSession, d: str) -> DataFrame:
     """Entries that a run lost: none."""

@@ -14,7 +14,8 @@ class Options:
     """Options of a run.
 
     as_of is the only clock; budget, where given, holds for files without one
-    of their own; max_entries refuses larger files (null: none); supersede and
+    of their own; max_entries and max_comparisons refuse
+    larger files (null: none); supersede and
     merge switch phases off.
     """
 
@@ -25,6 +26,7 @@ class Options:
     merge: bool = True
     supersede: bool = True
     max_entries: int | None = None
+    max_comparisons: int | None = None
 
     def clock(self) -> Column:
         return F.lit(self.as_of.isoformat(sep=" ")).cast("timestamp_ntz")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loamstack.functions import constants as K
 from loamstack.functions import text as T
-from loamstack.operators import ageing, duplicates, pairs, squeeze, supersede, themes
+from loamstack.operators import ageing, duplicates, guards, pairs, squeeze, supersede, themes
 from loamstack.operators.entries import content_size
 from loamstack.operators.writer import serialize
 from loamstack.plans.options import Options
@@ -132,16 +132,16 @@ def consolidate(entries: DataFrame, files: DataFrame, state: DataFrame, options:
 
     ``entries`` are analyzed (file_id, pos, text, is_header, toks, eid), each
     once; ``files`` gives (file_id, format, budget), formats already decided.
-    Files without entries, and files refused for having more than
-    options.max_entries, take no part; the latter are listed.
+    Files without entries, and files refused for more than
+    options.max_entries or max_comparisons, take no part; the latter are listed.
     """
     entries = entries.select("file_id", "pos", "text", "is_header", "toks", "eid")
     files = files.select("file_id", F.coalesce(F.lit(options.format), "format").alias("format"),
                          F.coalesce("budget", F.lit(options.budget)).cast("int").alias("budget"))
-    counts = entries.groupBy("file_id").agg(F.count("*").alias("entries"))
-    limit = options.max_entries
-    refused = counts.where(F.lit(limit).isNotNull() & (F.col("entries") > F.lit(limit))) if limit else counts.where("false")
-    if limit:
+    limited = options.max_entries or options.max_comparisons
+    refused = guards.refused(entries, options.max_entries, options.max_comparisons, options.supersede) if limited else entries.where("false").select(
+        "file_id", F.lit(0).cast("long").alias("entries"), F.lit("").alias("reason"))
+    if limited:
         entries = entries.join(refused, "file_id", "left_anti")
     entries = cut(entries)
     left, light_actions = light(entries)
@@ -248,3 +248,14 @@ def conservation(plan: Plan) -> DataFrame:
     held = kept.unionByName(gone).distinct()
     lost = plan.entries.withColumn("h", F.md5("text")).join(held, ["file_id", "h"], "left_anti")
     return lost.join(merged, "file_id", "left_anti").select("file_id", "pos")
+
+
+def changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(file_id, line, change, times): entries that a run takes out (``-``) or puts in (``+``), and how often; a dry run's difference.
+
+    Texts of (file_id, text) rows are compared as multisets.
+    """
+    def counted(df: DataFrame, sign: int) -> DataFrame:
+        return df.groupBy("file_id", "text").agg((F.count("*") * sign).alias("n"))
+    both = counted(before, -1).unionByName(counted(after, 1)).groupBy("file_id", "text").agg(F.sum("n").alias("n")).where("n <> 0")
+    return both.select("file_id", F.col("text").alias("line"), F.when(F.col("n") > 0, "+").otherwise("-").alias("change"), F.abs("n").alias("times"))

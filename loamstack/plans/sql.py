@@ -235,6 +235,11 @@ UNION ALL SELECT file_id, old_pos, 'superseded' FROM deep WHERE kind = 'supersed
 SELECT m.file_id, count(*) AS entries, CAST(sum(length(text)) + (count(*) - 1) * CASE WHEN any_value(fm.format) = 'sections' THEN 3 ELSE 1 END AS BIGINT) AS size
 FROM m JOIN fm USING (file_id) GROUP BY m.file_id""",
     "conserved": f"WITH {_E} SELECT file_id, pos FROM e WHERE false",
+    "comparison_counts": f"""WITH {_E} SELECT file_id, CAST(n * (n - 1) AS BIGINT) AS comparisons FROM
+  (SELECT file_id, count(DISTINCT eid) AS n FROM e WHERE NOT is_header GROUP BY file_id)""",
+    "consolidated_changes": f"""WITH RECURSIVE {_DEEP}, c AS (SELECT file_id, text AS line, sum(n) AS n FROM
+  (SELECT file_id, text, 1 AS n FROM m UNION ALL SELECT file_id, text, -1 FROM e) GROUP BY ALL)
+SELECT file_id, line, CASE WHEN n > 0 THEN '+' ELSE '-' END AS change, CAST(abs(n) AS BIGINT) AS times FROM c WHERE n <> 0""",
     "over_budget": f"""WITH {_E} {_SIZES.format(fmt=_fmt('files', 'content'))} SELECT file_id, fm.format, budget, size FROM z JOIN files USING (file_id) JOIN fm USING (file_id)
 WHERE budget > 0 AND size > budget""",
     "action_summary": """SELECT lower(phase) AS phase, kind, count(*) AS actions, count(removed) AS archived FROM

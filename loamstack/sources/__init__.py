@@ -1 +1 @@
-
+"""Where entries, files and states come from."""

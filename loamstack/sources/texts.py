@@ -30,7 +30,3 @@ def read_files(spark: SparkSession, path: str, max_bytes: int = K.MAX_FILE_BYTES
     return read.unionByName(large).select(
         "file_id", "content", F.lit(None).cast("string").alias("format"), F.lit(None).cast("int").alias("budget"), "size", "modified", "problem")
 
-
-def check_entries(entries: DataFrame, max_entries: int = K.MAX_ENTRIES) -> DataFrame:
-    """(file_id, entries) of the files that have more entries than allowed."""
-    return entries.groupBy("file_id").agg(F.count("*").alias("entries")).where(F.col("entries") > max_entries)
