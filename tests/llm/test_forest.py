@@ -44,7 +44,7 @@ def plain(history, arrivals):
 
 def test_depths_meet_the_target():
     d = fo.search_depths()
-    assert d[1] == fo.DEPTH and d.min() >= 2 and fo.reached(0.75, int(d[-1])) >= fo.RECALL
+    assert d[1] == fo.DEPTH and d[1:].min() >= 2 and fo.reached(0.75, int(d[-1])) >= fo.RECALL
     assert all(fo.reached(0.75, int(x)) >= fo.RECALL or x > d[-1] for x in d[1:])
 
 
