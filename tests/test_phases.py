@@ -184,3 +184,15 @@ def plain_squeeze(items, budget):
         density = [(sum(sum(t in b for b in bags) == 1 for t in bag) + .1) / max(1, len(items[k][0])) for k, bag in enumerate(bags)]
         del items[density.index(min(density))]
     return items
+
+
+def test_guards_and_changes(spark):
+    from loamstack.operators import guards
+    rows = [("f", i, f"text{i}", False, [f"t{i}"], f"e{i}") for i in range(5)] + [("g", 0, "x", False, ["x"], "e"), ("g", 1, "x", False, ["x"], "e"), ("g", 2, "# h", True, [], "h")]
+    e = spark.createDataFrame(rows, "file_id string, pos int, text string, is_header boolean, toks array<string>, eid string")
+    assert {r.file_id: r.comparisons for r in guards.comparisons(e).collect()} == {"f": 20, "g": 0}
+    assert [(r.file_id, r.reason) for r in guards.refused(e, 4).collect()] == [("f", "too many entries")]
+    assert [(r.file_id, r.reason) for r in guards.refused(e, None, 19).collect()] == [("f", "too many comparisons")]
+    assert guards.refused(e, None, None).isEmpty()
+    after = e.where("not (file_id = 'g' and pos = 1)").unionByName(spark.createDataFrame([("g", 9, "new", False, [], "n")], e.schema))
+    assert sorted(map(tuple, pipeline.changes(e.select("file_id", "text"), after.select("file_id", "text")).collect())) == [("g", "new", "+", 1), ("g", "x", "-", 1)]
