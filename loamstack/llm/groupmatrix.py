@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from loamstack.llm.base import list_parts, or_fold, token_set
 
 COUNTERS = 1 << 22  #: token counters; fixed, 8 MB as 16-bit numbers
+GROUP_COUNTERS = 1 << 16  #: counters of rows by group key; fixed
 KEY_BITS = 24  #: cells of the key filter, as a power of two; 2 MB as bits
 HOT = 2000  #: tokens of more records than this are joined as pairs
 MEMBERS = 8  #: classes a group is meant to hold
@@ -39,6 +40,21 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h.view(np.uint64) >> np.uint64(42)).astype(np.int64)
 
 
+def _group_bucket(g: np.ndarray) -> np.ndarray:
+    return (g.view(np.uint64) >> np.uint64(48)).astype(np.int64)
+
+
+def parts_of(counts: np.ndarray) -> np.ndarray:
+    """In how many parts the groups of each bucket are cut.
+
+    What stands in a bucket beyond the mean of all buckets belongs to its
+    large groups; so groups stay whole however many share a bucket, and a
+    large one is cut into parts of about MEMBERS rows, whatever its size.
+    """
+    beyond = np.maximum(counts.astype(np.int64) - int(counts.mean()), 1)
+    return -(-beyond // MEMBERS)
+
+
 def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None = None) -> DataFrame:
     """(id, hs, f, g): the token set, its fingerprint and its similarity key.
 
@@ -60,7 +76,9 @@ def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None
 def _count(arr: np.ndarray, batch: pa.RecordBatch) -> None:
     _, flat = list_parts(batch.column("hs"))
     if len(flat):
-        arr += np.bincount(_bucket(flat), minlength=COUNTERS).astype(np.uint32)
+        arr[:COUNTERS] += np.bincount(_bucket(flat), minlength=COUNTERS).astype(np.uint32)
+    g = batch.column("g").to_numpy(zero_copy_only=False)
+    arr[COUNTERS:] += np.bincount(_group_bucket(g), minlength=GROUP_COUNTERS).astype(np.uint32)
 
 
 def _prefix_keys(off: np.ndarray, h: np.ndarray, counts: np.ndarray, num: int, den: int, probe: bool):
@@ -178,12 +196,13 @@ def near_links(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     key filter (10 MB, whatever the input) is broadcast.  An empty input gives an empty result.
     """
     spark = sets.sparkSession
-    counts = or_fold(sets.select("hs"), COUNTERS, "uint32", "sum", _count)
-    shared = spark.sparkContext.broadcast(np.minimum(counts, 65535).astype(np.uint16))
+    counts = or_fold(sets.select("hs", "g"), COUNTERS + GROUP_COUNTERS, "uint32", "sum", _count)
+    shared = spark.sparkContext.broadcast(np.minimum(counts[:COUNTERS], 65535).astype(np.uint16))
     useful = spark.sparkContext.broadcast(_useful(sets, shared, num, den))
-    # groups of many rows are cut into parts by fingerprint; joined as the planner sees fit for their number
-    large = sets.groupBy("g").agg(F.count("*").alias("n")).where(f"n > {MEMBERS}").select("g", F.ceil(F.col("n") / MEMBERS).alias("parts"))
-    keyed = (sets.select("hs", "f", "g").join(large, "g", "left")
+    parts = parts_of(counts[COUNTERS:])
+    busy = np.flatnonzero(parts > 1)
+    salts = spark.createDataFrame([(int(b), int(parts[b])) for b in busy], "gb int, parts long")  # at most GROUP_COUNTERS rows
+    keyed = (sets.select("hs", "f", "g").withColumn("gb", F.shiftrightunsigned("g", 48).cast("int")).join(F.broadcast(salts), "gb", "left")
              .withColumn("gk", F.xxhash64("g", F.pmod("f", F.coalesce("parts", F.lit(1))))))
     groups = keyed.groupBy("gk").agg(F.first("g").alias("g"), F.collect_set(F.struct("f", "hs")).alias("members"))
 

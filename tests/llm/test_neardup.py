@@ -56,3 +56,14 @@ def test_survivors_take_each_field_from_its_best_row(spark):
     df = spark.createDataFrame(rows, "k string, rank int, a string, b string")
     got = {r.k: (r.a, r.b) for r in neardup.survivors(df, ["k"], {"a": ("a", ["rank"]), "b": ("b", ["rank"])}).collect()}
     assert got == {"g": ("y", "new"), None: ("z", "z")}
+
+
+def test_parts_of_groups_at_any_size():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    small = rng.poisson(1, 1 << 16)
+    assert groupmatrix.parts_of(small).max() <= 2
+    full = rng.poisson(20_000, 1 << 16)  # 1.3 billion rows in groups of a few
+    assert np.mean(groupmatrix.parts_of(full)) < 20
+    full[7] += 8_000_000  # a group of a third of a large shard
+    assert 900_000 < groupmatrix.parts_of(full)[7] < 1_100_000
