@@ -58,10 +58,9 @@ def parts_of(counts: np.ndarray) -> np.ndarray:
 def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None = None) -> DataFrame:
     """(id, hs, f, g): the token set, its fingerprint and its similarity key.
 
-    The key is made of the two smallest hashes and the largest one, a min-hash
-    of three values that the sorted set gives for nothing: two sets at a
-    similarity of 3/4 share it with a chance of 0.42, so that groups gather
-    what is alike; what they do not gather is found all the same.  Rows without tokens,
+    The key is made of the three smallest and the three largest hashes, a
+    min-hash of six values that the sorted set gives for nothing.  It is strict
+    on purpose: a group of sets less alike has a union that bounds nothing.  Rows without tokens,
     or without a scope where one is asked for, are near to nothing and absent.
     """
     scope = [F.col(scope_col)] if scope_col else []
@@ -70,7 +69,7 @@ def keyed_sets(df: DataFrame, id_col: str, toks_col: str, scope_col: str | None
     s = s.where(F.size("hs") > 0)
     return s.select(
         "id", "hs", F.xxhash64(F.lit(7), "hs").alias("f"),
-        F.xxhash64(F.lit(11), F.slice("hs", 1, 2), F.element_at("hs", -1)).alias("g"))
+        F.xxhash64(F.lit(11), F.slice("hs", 1, 3), F.slice("hs", F.greatest(F.size("hs") - 2, F.lit(1)), F.lit(3))).alias("g"))
 
 
 def _count(arr: np.ndarray, batch: pa.RecordBatch) -> None:
