@@ -85,3 +85,48 @@ walk AS (SELECT DISTINCT file_id, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) A
   UNION ALL SELECT file_id, k, CASE WHEN first IS NULL THEN list_append(taken, id) ELSE taken END, id, first FROM
   (SELECT w.file_id, s.k, w.taken, s.id, least(s.old, list_min(list_intersect(s.us, w.taken))) AS first FROM walk w JOIN steps s ON s.file_id = w.file_id AND s.k = w.k + 1))
 SELECT first AS accepted_entry_id, id AS entry_id FROM walk WHERE first IS NOT NULL"""
+
+# Formatting copies.  Marks with a meaning of their own, and signs that look like letters, stand aside as private
+# characters, so that one class holds all formatting.
+_OWN = "&@%#§¶‰†‡\u212a\u212b\u2126"
+_ASIDE = "".join(chr(0xE000 + k) for k in range(len(_OWN)))
+_F = r"\p{P}|=~`^<>+"
+_FOLDED = f"replace(translate(lower(translate(text, '{_OWN}', '{_ASIDE}')), 'ς', 'σ'), 'ß', 'ss')"
+_HASH = _ASIDE[3]
+
+
+def _plain_words(x: str) -> str:
+    """The words of an expression: chunks without the formatting at their ends."""
+    lead = rf"regexp_extract(c, '^[{_F}]*?([+\-]\p{{Nd}}.*|[^{_F}].*)$', 1)"
+    chunk = rf"CASE WHEN regexp_matches(c, '^{_HASH}+$') THEN '' ELSE regexp_extract({lead}, '^(.*(?:[^{_F}]|[\p{{L}}\p{{N}}+]\+))', 1) END"
+    return f"array_to_string(list_filter(list_transform(regexp_split_to_array({x}, '[ \\t\\r\\n]+'), lambda c: {chunk}), lambda d: d <> ''), ' ')"
+
+
+def _plain_fields(sep: str) -> str:
+    """The sorted fields by one separator, null unless there are several and all parts are fields."""
+    parts = f"list_filter(regexp_split_to_array(u, '{sep}'), lambda p: trim(p, chr(32) || chr(9) || chr(10) || chr(13)) <> '')"
+    bare = "trim(q, chr(32) || chr(9) || chr(10) || chr(13))"
+    key, value = (rf"regexp_extract({bare}, '(?s)^([^:=;|\n]+)[:=](.*)$', {k})" for k in (1, 2))
+    field = (rf"regexp_matches({bare}, '(?s)^[^:=;|\n]+[:=].*$') AND NOT regexp_matches(ltrim({value}), '[^\s:=][ \t]*=|:(?:\s|$)|\s:') "
+             f"AND {_plain_words(key)} <> ''")
+    made = f"list_sort(list_transform({parts}, lambda q: {_plain_words(key)} || chr(1) || {_plain_words(value)}))"
+    return f"CASE WHEN len({parts}) >= 2 AND len(list_filter({parts}, lambda q: NOT ({field}))) = 0 THEN array_to_string({made}, chr(2)) END"
+
+
+_SEPARATORS = (";", r"\|", r"\s/\s", r",\s", r"\n")
+_COPIES = rf"""
+WITH e AS (SELECT DISTINCT entry_id AS id, text FROM entries WHERE NOT coalesce(is_header, false)),
+t AS (SELECT text, min(id) AS id FROM e WHERE text IS NOT NULL GROUP BY text),
+a AS (SELECT id, text, {_FOLDED} AS t FROM t),
+b AS (SELECT id, text, t, regexp_replace(t, '^[ \t\r\n]*(?:[*>~\-•+{_HASH}]+[ \t\r\n]+)+', '') AS u FROM a),
+f AS (SELECT id, text, {_plain_words('t')} AS words, CASE WHEN t LIKE '%:%' OR t LIKE '%=%' THEN coalesce({', '.join(map(_plain_fields, _SEPARATORS))}) END AS fields FROM b),
+r1 AS (SELECT *, min(id) OVER (PARTITION BY words) AS r FROM f),
+r2 AS (SELECT id, text, words, fields, min(r) OVER (PARTITION BY coalesce(chr(3) || fields, words)) AS r FROM r1),
+r3 AS (SELECT id, text, words, fields, min(r) OVER (PARTITION BY words) AS r FROM r2),
+r4 AS (SELECT id, text, words, fields, min(r) OVER (PARTITION BY coalesce(chr(3) || fields, words)) AS r FROM r3),
+r5 AS (SELECT text, min(r) OVER (PARTITION BY words) AS root FROM r4)
+"""
+
+SQL["p2_found"] = _COPIES + "SELECT root AS first_entry_id, e.id AS entry_id FROM e JOIN r5 USING (text) WHERE e.id <> root"
+
+SQL["p2_counts"] = _COPIES + "SELECT coalesce(root, e.id) AS first_entry_id, count(*) AS copies FROM e LEFT JOIN r5 USING (text) GROUP BY 1"
