@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LANES = 32  #: arrays of a chunk that the first level keeps apart
+FAN_IN = 64  #: neighbouring tasks whose arrays the first level folds
 
 
 def token_set(toks: str | Column, *scope: Column) -> Column:
@@ -37,7 +37,7 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
 
     ``add`` updates a partition's array; the arrays are cut into 64 chunks,
     summed or or-ed chunk by chunk on the executors in two levels, first those
-    of every LANES-th task, and only the finished array (``cells`` items,
+    of FAN_IN neighbouring tasks, and only the finished array (``cells`` items,
     whatever the input) comes to the driver.
     """
     import zlib
@@ -54,7 +54,7 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
                 seen = True
                 add(arr, b)
         if seen:
-            lane = TaskContext.get().partitionId() % LANES
+            lane = TaskContext.get().partitionId() // FAN_IN
             pieces = (arr[k * width:(k + 1) * width] for k in range(chunks))
             parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(pieces) if p.any()]
             yield pa.RecordBatch.from_arrays(
@@ -80,8 +80,7 @@ def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
                 names=["chunk", "cells"])
 
     level = df.mapInArrow(partial, "lane int, chunk int, cells binary")
-    if LANES > 1:
-        level = level.repartition("lane", "chunk").mapInArrow(merge, "chunk int, cells binary")
+    level = level.repartition("lane", "chunk").mapInArrow(merge, "chunk int, cells binary")
     rows = level.repartition(8, "chunk").mapInArrow(merge, "chunk int, cells binary").collect()
     out = np.zeros(cells, dtype)
     for k, v in rows:
