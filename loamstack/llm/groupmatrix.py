@@ -31,9 +31,9 @@ from loamstack.llm.base import list_parts, or_fold, token_set
 
 COUNTERS = 1 << 22  #: token counters; fixed, 8 MB as 16-bit numbers
 GROUP_COUNTERS = 1 << 16  #: counters of rows by group key; fixed
-KEY_BITS = 24  #: cells of the key filter, as a power of two; 2 MB as bits
+KEY_BITS = 25  #: cells of the key filter, as a power of two; 4 MB as bits
 HOT = 2000  #: tokens of more records than this are joined as pairs
-MEMBERS = 8  #: classes a group is meant to hold
+MEMBERS = 4  #: classes a group is meant to hold
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -192,7 +192,7 @@ def near_links(sets: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     aggregation that collapses them; a group of many similar classes is cut
     into parts of about MEMBERS by fingerprint, and every part is still asked
     by every class, so no link is lost.  Nothing but the counters and the
-    key filter (10 MB, whatever the input) is broadcast.  An empty input gives an empty result.
+    key filter (12 MB, whatever the input) is broadcast.  An empty input gives an empty result.
     """
     spark = sets.sparkSession
     counts = or_fold(sets.select("hs", "g"), COUNTERS + GROUP_COUNTERS, "uint32", "sum", _count)
