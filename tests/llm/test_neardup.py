@@ -62,8 +62,8 @@ def test_parts_of_groups_at_any_size():
     import numpy as np
     rng = np.random.default_rng(1)
     small = rng.poisson(1, 1 << 16)
-    assert groupmatrix.parts_of(small).max() <= 2
+    assert groupmatrix.parts_of(small).max() <= -(-small.max() // groupmatrix.MEMBERS)
     full = rng.poisson(20_000, 1 << 16)  # 1.3 billion rows in groups of a few
     assert np.mean(groupmatrix.parts_of(full)) < 20
     full[7] += 8_000_000  # a group of a third of a large shard
-    assert 900_000 < groupmatrix.parts_of(full)[7] < 1_100_000
+    assert 0.9 < groupmatrix.parts_of(full)[7] * groupmatrix.MEMBERS / 8_000_000 < 1.1
