@@ -25,7 +25,7 @@ def plain(rows):
 
 
 #: Parts of the same run; test_phases.py looks at them.
-SAME_RUN = {"kept_sizes", "consolidated_entries", "consolidated_state", "consolidated_reports", "consolidated_actions", "archive_records", "conserved", "superseded"}
+SAME_RUN = {"kept_sizes", "removed_entries", "consolidated_changes", "consolidated_entries", "consolidated_state", "consolidated_reports", "consolidated_actions", "archive_records", "conserved", "superseded"}
 
 
 @pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SAME_RUN])
