@@ -67,3 +67,15 @@ def test_parts_of_groups_at_any_size():
     assert np.mean(groupmatrix.parts_of(full)) < 20
     full[7] += 8_000_000  # a group of a third of a large shard
     assert 0.9 < groupmatrix.parts_of(full)[7] * groupmatrix.MEMBERS / 8_000_000 < 1.1
+
+
+@pytest.mark.parametrize("records", [400_000, 25_000_000])
+def test_keys_of_a_set_do_not_grow_with_the_input(records):
+    """Tokens of one record in 400: no set asks for more keys in a large input than in a small one."""
+    import numpy as np
+    rng = np.random.default_rng(2)
+    h = np.concatenate([np.sort(rng.integers(-(1 << 62), 1 << 62, 28)) for _ in range(50)])
+    counts = np.full(groupmatrix.COUNTERS, records // 400, np.uint32)
+    for probe, prefix in ((True, 8), (False, 5)):
+        keys = groupmatrix._prefix_keys(np.arange(51) * 28, h, counts, 3, 4, probe, groupmatrix.hot_limit(records))[0]
+        assert len(keys) == 50 * prefix
