@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-FAN_IN = 64  #: neighbouring tasks whose arrays the first level folds
+from loamstack.operators.folds import FAN_IN, list_parts, or_fold
+
+__all__ = ["FAN_IN", "list_parts", "or_fold", "token_set"]
 
 
 def token_set(toks: str | Column, *scope: Column) -> Column:
@@ -20,69 +18,3 @@ def token_set(toks: str | Column, *scope: Column) -> Column:
     toks = F.col(toks) if isinstance(toks, str) else toks
     return F.sort_array(F.array_distinct(F.transform(
         F.filter(toks, lambda t: t.isNotNull()), lambda t: F.xxhash64(*scope, t))))
-
-
-def list_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets from 0, flat int64 values) of a list<int64> column."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    off = np.asarray(column.offsets).astype(np.int64)
-    flat = column.values.slice(off[0], off[-1] - off[0]).to_numpy(zero_copy_only=False)
-    return off - off[0], flat
-
-
-def or_fold(df: DataFrame, cells: int, dtype: str, fold: str,
-            add: Callable[[np.ndarray, pa.RecordBatch], None]) -> np.ndarray:
-    """A fixed-size array over all rows, by partition and then by chunk.
-
-    ``add`` updates a partition's array; the arrays are cut into 64 chunks,
-    summed or or-ed chunk by chunk on the executors in two levels, first those
-    of FAN_IN neighbouring tasks, and only the finished array (``cells`` items,
-    whatever the input) comes to the driver.
-    """
-    import zlib
-
-    from pyspark import TaskContext
-
-    chunks = 64
-    width = cells // chunks
-
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        arr, seen = np.zeros(cells, dtype), False
-        for b in batches:
-            if b.num_rows:
-                seen = True
-                add(arr, b)
-        if seen:
-            lane = TaskContext.get().partitionId() // FAN_IN
-            pieces = (arr[k * width:(k + 1) * width] for k in range(chunks))
-            parts = [(k, zlib.compress(p.tobytes(), 1)) for k, p in enumerate(pieces) if p.any()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lane] * len(parts), pa.int32()), pa.array([k for k, _ in parts], pa.int32()), pa.array([v for _, v in parts], pa.binary())],
-                names=["lane", "chunk", "cells"])
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, v in zip(b.column("chunk").to_pylist(), b.column("cells").to_pylist()):
-                part = np.frombuffer(zlib.decompress(v), dtype)
-                if k not in total:
-                    total[k] = part.copy()
-                elif fold == "or":
-                    total[k] |= part
-                elif fold == "two":  # counts that stop at two
-                    total[k] = np.minimum(total[k] + part, 2).astype(dtype)
-                else:
-                    total[k] += part
-        if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(total), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in total.values()], pa.binary())],
-                names=["chunk", "cells"])
-
-    level = df.mapInArrow(partial, "lane int, chunk int, cells binary")
-    level = level.repartition("lane", "chunk").mapInArrow(merge, "chunk int, cells binary")
-    rows = level.repartition(8, "chunk").mapInArrow(merge, "chunk int, cells binary").collect()
-    out = np.zeros(cells, dtype)
-    for k, v in rows:
-        out[k * width:(k + 1) * width] = np.frombuffer(zlib.decompress(bytes(v)), dtype)
-    return out
