@@ -3,6 +3,7 @@
 import random
 
 from loamstack.operators import pairs
+from loamstack.plans import catalog
 from loamstack.runtime import stage
 
 ROWS = "file_id string, pos int, text string, is_header boolean, toks array<string>, eid string"
@@ -34,3 +35,11 @@ def test_best_pairs_shuffle_only_what_stands_in_pairs(spark):
     got = sorted((r.file_id, r.a, r.b) for r in pairs.best_merge_pair(entries).collect())
     assert got == sorted((f"f{k}", 0, 1) for k in range(30))
     assert shuffled(spark) - before < size / 2
+
+
+def test_merged_texts_shuffle_only_what_is_merged(spark, tmp_path):
+    entries, size = lonely(spark)
+    entries.selectExpr("monotonically_increasing_id() AS entry_id", "*").write.parquet(f"{tmp_path}/entries.parquet")
+    before = shuffled(spark)
+    assert catalog.QUERIES["merged_texts"](spark, str(tmp_path)).count() == 30
+    assert shuffled(spark) - before < size / 2
