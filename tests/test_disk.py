@@ -43,3 +43,14 @@ def test_merged_texts_shuffle_only_what_is_merged(spark, tmp_path):
     before = shuffled(spark)
     assert catalog.QUERIES["merged_texts"](spark, str(tmp_path)).count() == 30
     assert shuffled(spark) - before < size / 2
+
+
+def test_subjects_shuffle_no_tokens_of_pairs(spark):
+    """Entries of one subject with different bodies meet in the join and end there."""
+    rng = random.Random(6)
+    lead = words(rng, 6)
+    rows = [("f", i, "", False, lead + words(rng, 30), str(i)) for i in range(200)]
+    entries = stage(spark.createDataFrame(rows, ROWS).repartition(4))
+    before = shuffled(spark)
+    assert pairs.subject_edges(entries).isEmpty()
+    assert shuffled(spark) - before < 5_000_000
