@@ -1,6 +1,7 @@
 """What joins write to disk: rows that stand in no pair are not shuffled."""
 
 import random
+from pathlib import Path
 
 from loamstack.operators import pairs
 from loamstack.plans import catalog
@@ -54,3 +55,21 @@ def test_subjects_shuffle_no_tokens_of_pairs(spark):
     before = shuffled(spark)
     assert pairs.subject_edges(entries).isEmpty()
     assert shuffled(spark) - before < 5_000_000
+
+
+def test_a_run_keeps_few_copies_of_its_entries(spark):
+    from datetime import datetime
+    from loamstack.plans import pipeline
+    from loamstack.plans.options import Options
+    from loamstack.runtime import shared_dir
+
+    def held():
+        return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    entries, size = lonely(spark, 600)
+    files = spark.createDataFrame([("f0", "sections", None)], "file_id string, format string, budget int")
+    state = spark.createDataFrame([], "file_id string, eid string, first_seen timestamp_ntz, last_seen timestamp_ntz, runs_seen int, preview string")
+    before, one = held(), held() and sum(p.stat().st_size for p in map(Path, (f.removeprefix("file:") for f in entries.inputFiles())))
+    plan = pipeline.consolidate(entries, files, state, Options(datetime(2025, 12, 1)))
+    assert held() - before < 4.5 * one
+    assert pipeline.conservation(plan).isEmpty()
