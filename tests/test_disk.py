@@ -1,6 +1,7 @@
 """What joins write to disk: rows that stand in no pair are not shuffled."""
 
 import random
+import time
 from pathlib import Path
 
 from loamstack.operators import pairs
@@ -73,3 +74,64 @@ def test_a_run_keeps_few_copies_of_its_entries(spark):
     plan = pipeline.consolidate(entries, files, state, Options(datetime(2025, 12, 1)))
     assert held() - before < 4.5 * one
     assert pipeline.conservation(plan).isEmpty()
+
+
+def on_disk(spark):
+    """Bytes of shuffles that lie in Spark's local folders."""
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()) if files.apply(i).getName().startswith("shuffle_"))
+
+
+def test_a_stage_leaves_no_shuffle_behind(spark):
+    rng = random.Random(7)
+    rows = spark.createDataFrame([(i, words(rng, 30)) for i in range(1000)], "i int, toks array<string>").repartition(3, "i")
+    before = on_disk(spark)
+    table = stage(rows)  # rows stays in use, so no garbage is what frees its files
+    for _ in range(50):
+        if on_disk(spark) <= before:
+            break
+        time.sleep(0.1)
+    assert on_disk(spark) <= before
+    assert rows.count() == table.count() == 1000
+
+
+def test_a_run_copies_entries_only_where_they_change(spark):
+    """The table of the entries, what ageing left and what is kept; nothing whole between them."""
+    from datetime import datetime
+    from loamstack.plans import pipeline
+    from loamstack.plans.options import Options
+    from loamstack.runtime import shared_dir
+
+    def held():
+        return sum(p.stat().st_size for p in Path(shared_dir(spark).removeprefix("file:")).rglob("*.parquet"))
+
+    entries, _ = lonely(spark, 600)
+    one = sum(p.stat().st_size for p in map(Path, (f.removeprefix("file:") for f in entries.inputFiles())))
+    files = spark.createDataFrame([("f0", "sections", None)], "file_id string, format string, budget int")
+    state = spark.createDataFrame([], "file_id string, eid string, first_seen timestamp_ntz, last_seen timestamp_ntz, runs_seen int, preview string")
+    before = held()
+    plan = pipeline.consolidate(entries, files, state, Options(datetime(2025, 12, 1)))
+    assert held() - before < 3.5 * one
+    assert pipeline.conservation(plan).isEmpty()
+
+
+def test_subjects_of_one_template_meet_only_where_they_may_pass(spark):
+    """Sets of six with three common words: of those alone no key is made, as four must be shared."""
+    rng = random.Random(8)
+    rows = [("f", i, "", False, ["owner", "of", "changed"] + words(rng, 30), str(i)) for i in range(3000)]
+    entries = stage(spark.createDataFrame(rows, ROWS).repartition(4))
+    before = shuffled(spark)
+    assert pairs.subject_edges(entries).isEmpty()
+    assert shuffled(spark) - before < 1_200_000
+
+
+def test_broadcast_arrays_travel_compressed():
+    """Each of them is a file on the driver and on every executor, however small the input."""
+    import pickle
+    import numpy as np
+    from loamstack.operators.folds import Packed
+
+    array = np.zeros(1 << 22, "uint32")
+    array[7] = 3
+    sent = pickle.dumps(Packed(array))
+    assert len(sent) < array.nbytes / 100 and (pickle.loads(sent) == array).all()
